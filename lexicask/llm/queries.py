@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
+from lexicask.llm.mixing import OP1_SQL, op1_pfair_mixing
 from lexicask.llm.packing import op10_curve_packing
 from lexicask.llm.quality import OP7_SQL, op7_quality_rules
 from lexicask.llm.tokenfiles import op2_token_files
 
 QUERIES = {
+    "op1_pfair_mixing": op1_pfair_mixing,
     "op2_token_files": op2_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op10_curve_packing": op10_curve_packing,
 }
-ORACLE_SQL = {"op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {"op1_pfair_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL}
