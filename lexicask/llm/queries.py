@@ -5,12 +5,14 @@ from lexicask.llm.mixing import OP1_SQL, op1_pfair_mixing
 from lexicask.llm.packing import op10_curve_packing
 from lexicask.llm.quality import OP7_SQL, op7_quality_rules
 from lexicask.llm.tokenfiles import op2_token_files
+from lexicask.llm.warc import op9_warc_derivatives
 
 QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_token_files": op2_token_files,
     "op3_chat_round_trip": op3_chat_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_curve_packing": op10_curve_packing,
 }
 ORACLE_SQL = {"op1_pfair_mixing": OP1_SQL, "op3_chat_round_trip": OP3_SQL, "op7_quality_rules": OP7_SQL}
