@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
 from lexicask.llm.chat import OP3_SQL, op3_chat_round_trip
+from lexicask.llm.embeddings import op5_itq_embeddings
 from lexicask.llm.mixing import OP1_SQL, op1_pfair_mixing
 from lexicask.llm.packing import op10_curve_packing
 from lexicask.llm.quality import OP7_SQL, op7_quality_rules
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_token_files": op2_token_files,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op5_itq_embeddings": op5_itq_embeddings,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_curve_packing": op10_curve_packing,
