@@ -3,6 +3,7 @@
 from lexicask.llm.chat import OP3_SQL, op3_chat_round_trip
 from lexicask.llm.embeddings import op5_itq_embeddings
 from lexicask.llm.mixing import OP1_SQL, op1_pfair_mixing
+from lexicask.llm.neardup import op6_weighted_minhash
 from lexicask.llm.packing import op10_curve_packing
 from lexicask.llm.quality import OP7_SQL, op7_quality_rules
 from lexicask.llm.tokenfiles import op2_token_files
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_chat_round_trip": op3_chat_round_trip,
     "op5_itq_embeddings": op5_itq_embeddings,
+    "op6_weighted_minhash": op6_weighted_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_curve_packing": op10_curve_packing,
