@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words everywhere in this subpackage: space and \t \n \v \f \r.
@@ -48,7 +49,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
-    joined = pa.compute.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    joined = pc.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
     if isinstance(joined, pa.ChunkedArray):
         joined = joined.combine_chunks()
     _, offsets, data = joined.buffers()

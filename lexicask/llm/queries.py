@@ -2,6 +2,7 @@
 
 from lexicask.llm.chat import OP3_SQL, op3_chat_round_trip
 from lexicask.llm.embeddings import op5_itq_embeddings
+from lexicask.llm.langid import language_of_pages, op4_language_evidence
 from lexicask.llm.mixing import OP1_SQL, op1_pfair_mixing
 from lexicask.llm.neardup import op6_weighted_minhash
 from lexicask.llm.packing import op10_curve_packing
@@ -13,10 +14,12 @@ QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_token_files": op2_token_files,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op4_language_evidence": op4_language_evidence,
     "op5_itq_embeddings": op5_itq_embeddings,
     "op6_weighted_minhash": op6_weighted_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_curve_packing": op10_curve_packing,
+    "language_of_pages": language_of_pages,
 }
 ORACLE_SQL = {"op1_pfair_mixing": OP1_SQL, "op3_chat_round_trip": OP3_SQL, "op7_quality_rules": OP7_SQL}
