@@ -2,25 +2,204 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.functions.text import tokens
+from lexicask.operators import build, lookup, search
+from lexicask.plans.index import Index
+from lexicask.plans.ingest import text_bytes
+from lexicask.schema import Features
+
+TARGETS = [("the", 0), ("the", 10), ("the", 500), ("the", 100_000_000), ("and", 77), ("ghost", 3)]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+def _fields():
+    return {"body": "text", "title": F.substring_index("text", "\n", 1), "label": "source"}
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.occurrences(_documents(spark, sf_dir), {"body": "text"})
+
+
+def _postings(spark: SparkSession, sf_dir: str, features: Features = Features.POSITIONS) -> DataFrame:
+    return build.postings(_occurrences(spark, sf_dir), features)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for a stored index: in the cluster's shared folder, where one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lexicask-indexes")
+    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def occurrences(spark, sf_dir):
+    return _occurrences(spark, sf_dir).drop("field")
+
+
+def postings_positions(spark, sf_dir):
+    return _postings(spark, sf_dir).drop("field")
+
+
+def postings_tf(spark, sf_dir):
+    return _postings(spark, sf_dir, Features.TERM_FREQUENCY).select("token", "doc_id", "tf")
+
+
+def postings_doc(spark, sf_dir):
+    return _postings(spark, sf_dir, Features.DOC).select("token", "doc_id", "tf")
+
+
+def token_stats(spark, sf_dir):
+    return build.token_stats(_postings(spark, sf_dir, Features.TERM_FREQUENCY)).drop("field")
+
+
+def token_stats_doc(spark, sf_dir):
+    return build.token_stats(_postings(spark, sf_dir, Features.DOC)).drop("field")
+
+
+def doc_stats(spark, sf_dir):
+    return build.doc_stats(_occurrences(spark, sf_dir)).drop("field")
+
+
+def lookup_token(spark, sf_dir):
+    return lookup.lookup(_postings(spark, sf_dir), "body", "the")
+
+
+def lookup_missing(spark, sf_dir):
+    return lookup.lookup(_postings(spark, sf_dir), "body", "ghost")
+
+
+def seek(spark, sf_dir):
+    return lookup.seek(_postings(spark, sf_dir), "body", "the", 100)
+
+
+def seek_batch(spark, sf_dir):
+    targets = spark.createDataFrame([("body", t, d) for t, d in TARGETS], "field string, token string, target long")
+    return lookup.seek_batch(_postings(spark, sf_dir, Features.DOC), targets).drop("field")
+
+
+def posting_blocks(spark, sf_dir):
+    return build.blocks(_postings(spark, sf_dir, Features.DOC)).drop("field")
+
+
+def size_hint(spark, sf_dir):
+    return lookup.size_hint(build.token_stats(_postings(spark, sf_dir, Features.TERM_FREQUENCY)), "body", "the", "and", "ghost")
+
+
+def multi_field_stats(spark, sf_dir):
+    return build.token_stats(build.postings(build.occurrences(_documents(spark, sf_dir), _fields()), Features.TERM_FREQUENCY))
+
+
+def ingest_metrics(spark, sf_dir):
+    return text_bytes(_documents(spark, sf_dir), _fields())
+
+
+def limit_ingest(spark, sf_dir):
+    docs = _documents(spark, sf_dir).filter("doc_id < 100")
+    return build.token_stats(build.postings(build.occurrences(docs, {"body": "text"}), Features.TERM_FREQUENCY)).drop("field")
+
+
+def incremental_equals_bulk(spark, sf_dir):
+    """Statistics summed over three stored generations."""
+    docs = _documents(spark, sf_dir)
+    index = Index.open(spark, work_dir(spark), {"body": Features.POSITIONS})
+    for low, high in ((0, 1), (1, 437), (437, 1 << 62)):
+        index = index.append(docs.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)), {"body": "text"})
+    return index.token_stats().drop("field")
+
+
+def stored_lookup(spark, sf_dir):
+    """A token's postings from a stored and compacted index of two fields."""
+    docs = _documents(spark, sf_dir)
+    index = Index.open(spark, work_dir(spark), {"body": Features.POSITIONS, "label": Features.DOC})
+    for low, high in ((0, 500), (500, 1 << 62)):
+        index = index.append(docs.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)), {"body": "text", "label": "source"})
+    return index.compact().lookup("body", "of")
+
+
+def conversation_stats(spark, sf_dir):
+    """A second corpus: doc_ids are minted densely in the order of conversation and turn."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").sort("conv_id", "turn").rdd.zipWithIndex()
+    docs = turns.map(lambda x: (x[1], x[0]["role"], x[0]["text"])).toDF("doc_id long, role string, text string")
+    return build.token_stats(build.postings(build.occurrences(docs, {"text": "text", "role": "role"}), Features.TERM_FREQUENCY))
+
+
+def bm25_topk(spark, sf_dir):
+    occurrences = _occurrences(spark, sf_dir)
+    n = _documents(spark, sf_dir).count()
+    scores = search.bm25(build.postings(occurrences, Features.TERM_FREQUENCY), build.doc_stats(occurrences), n, "body", ["the", "and", "of"])
+    return search.top(scores.select("doc_id", F.round("score", 6).alias("score")), 20)
+
+
+def phrase(spark, sf_dir):
+    return search.phrase(_postings(spark, sf_dir), "body", ["of", "the"])
+
+
+def bool_and(spark, sf_dir):
+    return search.all_of(_postings(spark, sf_dir, Features.DOC), "body", ["the", "of"])
+
+
+def bool_or(spark, sf_dir):
+    return search.any_of(_postings(spark, sf_dir, Features.DOC), "body", ["the", "der"])
+
+
+def bool_not(spark, sf_dir):
+    return search.boolean(_documents(spark, sf_dir), _postings(spark, sf_dir, Features.DOC), "body", must=["the"], must_not=["of"])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences(spark, sf_dir).filter("token = 'the'").groupBy("doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return lookup_token(spark, sf_dir).orderBy("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(occurrences, postings_positions, postings_tf, postings_doc, token_stats, token_stats_doc, doc_stats, lookup_missing, seek, seek_batch, posting_blocks, size_hint),
+        *(multi_field_stats, ingest_metrics, limit_ingest, incremental_equals_bulk, stored_lookup, conversation_stats, bm25_topk, phrase, bool_and, bool_or, bool_not),
+    )
+} | {"lookup": lookup_token}
 
+_O = r"""WITH o AS (SELECT doc_id, unnest(range(len(t)))::INTEGER AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t FROM documents)),
+p AS (SELECT token, doc_id, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM o GROUP BY ALL) """
+_STATS = "SELECT {}token, count(*) AS doc_frequency, sum(tf)::BIGINT AS term_frequency, CASE WHEN count(*) = 1 THEN min(doc_id) END AS single_docid FROM p {} GROUP BY {}token"
+_TARGETS = ", ".join(f"('{t}', {d}::BIGINT)" for t, d in TARGETS)
 
-QUERIES = {"occurrences": occurrences}
 ORACLE_SQL = {
-    "occurrences": r"SELECT doc_id, unnest(range(len(t)))::INTEGER AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t FROM documents)",
+    "occurrences": _O + "SELECT * FROM o",
+    "postings_positions": _O + "SELECT * FROM p",
+    "postings_tf": _O + "SELECT token, doc_id, tf FROM p",
+    "postings_doc": _O + "SELECT DISTINCT token, doc_id, 1::BIGINT AS tf FROM o",
+    "token_stats": _O + _STATS.format("", "", ""),
+    "token_stats_doc": _O + "SELECT token, count(*) AS doc_frequency, count(*) AS term_frequency, CASE WHEN count(*) = 1 THEN min(doc_id) END AS single_docid FROM p GROUP BY token",
+    "doc_stats": _O + "SELECT doc_id, count(*) AS doc_len FROM o GROUP BY doc_id",
+    "lookup": _O + "SELECT doc_id, tf, positions FROM p WHERE token = 'the'",
+    "lookup_missing": _O + "SELECT doc_id, tf, positions FROM p WHERE token = 'ghost'",
+    "seek": _O + "SELECT doc_id, tf, positions FROM p WHERE token = 'the' AND doc_id >= 100 ORDER BY doc_id LIMIT 1",
+    "seek_batch": _O + f"SELECT t.token, t.target, p.doc_id FROM (VALUES {_TARGETS}) t(token, target) ASOF LEFT JOIN p ON p.token = t.token AND t.target <= p.doc_id",
+    "posting_blocks": _O + """, r AS (SELECT token, doc_id, (row_number() OVER (PARTITION BY token ORDER BY doc_id) - 1) // 256 AS block_no, count(*) OVER (PARTITION BY token) AS df FROM p)
+SELECT token, block_no, min(doc_id) AS first_docid, max(doc_id) AS last_docid, count(*) AS n_docs FROM r WHERE df > 1 GROUP BY token, block_no""",
+    "size_hint": _O + "SELECT token, count(*) AS size_hint FROM p WHERE token IN ('the', 'and', 'ghost') GROUP BY token",
+    "multi_field_stats": r"""WITH f AS (SELECT 'body' AS field, doc_id, text FROM documents UNION ALL SELECT 'title', doc_id, split_part(text, chr(10), 1) FROM documents UNION ALL SELECT 'label', doc_id, source FROM documents),
+o AS (SELECT field, doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM f), p AS (SELECT field, token, doc_id, count(*) AS tf FROM o GROUP BY ALL) """ + _STATS.format("field, ", "", "field, "),
+    "ingest_metrics": "SELECT count(*) AS n_docs, sum(strlen(text) + strlen(split_part(text, chr(10), 1)) + strlen(source))::BIGINT AS total_bytes FROM documents",
+    "limit_ingest": _O + _STATS.format("", "WHERE doc_id < 100", ""),
+    "incremental_equals_bulk": _O + _STATS.format("", "", ""),
+    "stored_lookup": _O + "SELECT doc_id, tf, positions FROM p WHERE token = 'of'",
+    "conversation_stats": r"""WITH d AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc_id, role, text FROM conversations),
+f AS (SELECT 'text' AS field, doc_id, text FROM d UNION ALL SELECT 'role', doc_id, role FROM d),
+o AS (SELECT field, doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM f), p AS (SELECT field, token, doc_id, count(*) AS tf FROM o GROUP BY ALL) """ + _STATS.format("field, ", "", "field, "),
+    "bm25_topk": _O + """, l AS (SELECT doc_id, count(*) AS doc_len FROM o GROUP BY doc_id), n AS (SELECT count(*) AS n FROM documents), a AS (SELECT sum(doc_len) / (SELECT n FROM n) AS m FROM l),
+q AS (SELECT * FROM p WHERE token IN ('the', 'and', 'of')), d AS (SELECT token, count(*) AS df FROM q GROUP BY token)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / m))), 6) AS score
+FROM q JOIN d USING (token) JOIN l USING (doc_id), n, a GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+    "phrase": _O + "SELECT a.doc_id, count(*) AS n_matches FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.doc_id",
+    "bool_and": _O + "SELECT doc_id FROM p WHERE token = 'the' INTERSECT SELECT doc_id FROM p WHERE token = 'of'",
+    "bool_or": _O + "SELECT DISTINCT doc_id FROM p WHERE token IN ('the', 'der')",
+    "bool_not": _O + "SELECT doc_id FROM p WHERE token = 'the' EXCEPT SELECT doc_id FROM p WHERE token = 'of'",
 }
