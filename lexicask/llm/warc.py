@@ -109,7 +109,7 @@ def derivatives(uri: str, page: str, date: str = DATE) -> tuple[tuple, list[tupl
     title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [f"source-{k}: {v}" for k, v in (x.split(": ", 1) for x in response.split("\r\n")[1:-1])]
     fields += [f"source-http-{k}: {v}" for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n")[1:-2])]
-    fields += [f"title: {_line(entities.unescape(title[1]))}"] * bool(title) + [f"language: {lang[1].lower()}"] * bool(lang)
+    fields += [f"title: {_line(entities.unescape(x[1]))}" for x in (title,) if x] + [f"language: {x[1].lower()}" for x in (lang,) if x]
     fields += [f"outlink: {_line(entities.unescape(a or b or c))}" for a, b, c in _LINK.findall(page)]
     made = []
     for kind, content_type, block in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
