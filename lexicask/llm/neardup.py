@@ -212,7 +212,7 @@ def candidates(reps: DataFrame, work: str) -> DataFrame:
     return small.unionAll(split).unionAll(stars).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
     """Pairs a, b with their similarity, where it reaches `similar`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +235,17 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similar: float)
                 keep = pa.array(np.flatnonzero(similarity >= similar))
                 yield pa.RecordBatch.from_arrays([some.column("a").take(keep), some.column("b").take(keep), pa.array(similarity).take(keep)], names=["a", "b", "similarity"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    a = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    # both sides grow with the corpus, so neither is broadcast
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of every document in a pair: the one shuffle of all texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    return own.join(ids.hint("merge"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None = None) -> DataFrame:
@@ -253,13 +259,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None
     a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     pairs = store(met.join(a, "a").join(b, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= SCREEN), f"{work}/pairs")
+    texts = store(texts_of(pairs, docs), f"{work}/texts")
     # one pair for each text first: the one that agrees most
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    first = store(verified(best, docs, idf, similar), f"{work}/first")
+    first = store(verified(best, texts, idf, similar), f"{work}/first")
     so_far = store(components(first, f"{work}/first_classes"), f"{work}/so_far")
     of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     apart = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    second = store(verified(store(apart.select("a", "b"), f"{work}/apart"), docs, idf, similar), f"{work}/second")
+    second = store(verified(store(apart.select("a", "b"), f"{work}/apart"), texts, idf, similar), f"{work}/second")
     links = first.select("a", "b").unionAll(second.select("a", "b"))
     named = components(links, f"{work}/classes").withColumnRenamed("id", "rep")
     members = signed.select("doc_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
