@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexicask.operators import build, lookup, search
 from lexicask.plans.index import Index
 from lexicask.plans.ingest import text_bytes
+from lexicask.plans.numbering import dense_ids
 from lexicask.schema import Features
 
 TARGETS = [("the", 0), ("the", 10), ("the", 500), ("the", 100_000_000), ("and", 77), ("ghost", 3)]
@@ -125,8 +126,7 @@ def stored_lookup(spark, sf_dir):
 
 def conversation_stats(spark, sf_dir):
     """A second corpus: doc_ids are minted densely in the order of conversation and turn."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").sort("conv_id", "turn").rdd.zipWithIndex()
-    docs = turns.map(lambda x: (x[1], x[0]["role"], x[0]["text"])).toDF("doc_id long, role string, text string")
+    docs = dense_ids(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id", "turn"], work_dir(spark))
     return build.token_stats(build.postings(build.occurrences(docs, {"text": "text", "role": "role"}), Features.TERM_FREQUENCY))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lexicask.operators import build
 from lexicask.plans.index import Index, IndexRefused, drop
 from lexicask.plans.ingest import ingest
+from lexicask.plans.numbering import dense_ids
 from lexicask.schema import OCCURRENCES, Features
 from lexicask.streaming.ingest import ingest_stream
 
@@ -117,3 +118,10 @@ def test_stream(spark, tmp_path):
     index = Index.open(spark, f"{tmp_path}/i")
     assert index.size_hint("f", "a") == 5 and index.manifest.next_docid == 10
     assert index.append(docs(spark, [(50, "x")]), {"f": "text"}, batch="stream-0") is index  # replayed
+
+
+def test_dense_ids(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("text")).repartition(7)
+    got = dense_ids(rows, ["k"], f"{tmp_path}/w", start=5)
+    assert got.columns == ["doc_id", "k", "text"] and got.filter("doc_id <> k + 5").count() == 0 and got.count() == 1000
+    assert dense_ids(rows.limit(0), ["k"], f"{tmp_path}/none").count() == 0
