@@ -185,13 +185,19 @@ class Index:
             raise IndexRefused("doc_ids must be distinct")
         generation = f"gen-{self.manifest.version + 1:012d}-{uuid.uuid4().hex[:8]}"
         base = f"{self.path}/data/{generation}"
-        parts = None
+        at: dict[Features, list[str]] = {}
         for name, level in self.manifest.features.items():
-            p = build.postings(occurrences.filter(F.col("field") == name), Features(level))
+            at.setdefault(Features(level), []).append(name)
+        parts = None
+        for level, names in at.items():  # fields of one level are one pass over the texts
+            p = build.postings(occurrences.filter(F.col("field").isin(*names)), level)
             parts = p if parts is None else parts.unionAll(p)
         self._write_postings(parts, base)
         self._write_stats(base)
-        build.doc_stats(occurrences.filter(F.col("field").isin(*self.manifest.features))).write.parquet(f"{base}/doc_stats")
+        lengths = self._generation(base).filter(~F.col("field").isin(*at.get(Features.DOC, []))).groupBy("field", "doc_id").agg(F.sum("tf").alias("doc_len"))
+        if Features.DOC in at:  # only here frequencies are not kept
+            lengths = lengths.unionAll(build.doc_stats(occurrences.filter(F.col("field").isin(*at[Features.DOC]))))
+        lengths.write.parquet(f"{base}/doc_stats")
         m = self.manifest
         batches = m.batches | ({batch: generation} if batch is not None else {})
         return self._commit(replace(m, generations=(*m.generations, generation), next_docid=facts["high"] + 1, n_docs=m.n_docs + facts["n"], batches=batches))
@@ -207,9 +213,11 @@ class Index:
         placed = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(self.manifest.buckets)).cast("int"))
         placed.repartitionByRange(*key).sortWithinPartitions(*key).write.partitionBy("field", "bucket").parquet(f"{base}/postings")
 
+    def _generation(self, base: str) -> DataFrame:
+        return self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{base}/postings")
+
     def _write_stats(self, base: str) -> None:
-        own = self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{base}/postings")
-        sums = own.groupBy("field", "token").agg(F.count("*").alias("doc_frequency"), F.sum("tf").alias("term_frequency"), F.min("doc_id").alias("first_docid"))
+        sums = self._generation(base).groupBy("field", "token").agg(F.count("*").alias("doc_frequency"), F.sum("tf").alias("term_frequency"), F.min("doc_id").alias("first_docid"))
         sums.repartitionByRange("field", "token").sortWithinPartitions("field", "token").write.parquet(f"{base}/token_stats")
 
     # -- administration
