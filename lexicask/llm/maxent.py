@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from lexicask.llm.common import mixed, shared_dir, store, table, words_of
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 CLASSES = 32  # and subclasses of each
 BUCKETS = CLASSES * CLASSES
 FEATURES = 1 << 13
 ROUNDS, TURNS, RATE = 2, 8, 0.15
+#: Parts in which a change of the weights is added up.
+BLOCKS = 16
 #: Tokens of one numpy batch.
 BATCH = 8192
 END = np.uint64(0x5EED0F7E87A11EAD)
@@ -226,6 +228,7 @@ def train(read: DataFrame, tokens: np.ndarray) -> Weights:
     """Weights after ROUNDS of averaged local updates over all chunks."""
     spark, weights = read.sparkSession, Weights(tokens)
     size = 2 * FEATURES * CLASSES
+    cuts = [(size + 1) * k // BLOCKS for k in range(BLOCKS + 1)]
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(weights)  # of fixed size
 
@@ -237,10 +240,10 @@ def train(read: DataFrame, tokens: np.ndarray) -> Weights:
                     total[:-1] += change.reshape(-1) * n
                     positions += n
             total[-1] = positions
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["change"])
+            if positions:
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["k", "x"])
 
-        changes = read.select("lengths", "held", "hashes", "tokens").mapInArrow(run, "change binary")
-        total = _tree(changes, size + 1)
+        total = _summed(read.select("lengths", "held", "hashes", "tokens").mapInArrow(run, "k long, x binary"), cuts)
         if total[-1] > 0:
             average = (total[:-1] / total[-1]).reshape(2, FEATURES, CLASSES)
             weights.first += average[0]
@@ -248,15 +251,8 @@ def train(read: DataFrame, tokens: np.ndarray) -> Weights:
     return weights
 
 
-def _tree(changes: DataFrame, length: int, blocks: int = 16) -> np.ndarray:
-    """The sum of the tasks' arrays, added by block on the executors."""
-    cuts = [length * k // blocks for k in range(blocks + 1)]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                x = np.frombuffer(x, np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int64()), pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["k", "x"])
+def _summed(parts: DataFrame, cuts: list[int]) -> np.ndarray:
+    """The sum of the tasks' arrays, which come cut into blocks (k, x): added by block on the executors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -266,10 +262,8 @@ def _tree(changes: DataFrame, length: int, blocks: int = 16) -> np.ndarray:
                 sums[k] = sums[k] + x if k in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "x"])
 
-    kind = "k long, x binary"
-    parts = changes.mapInArrow(cut, kind).repartition("k").mapInArrow(add, kind).collect()  # one model
-    total = np.zeros(length)
-    for k, x in parts:
+    total = np.zeros(cuts[-1])
+    for k, x in parts.repartition("k").mapInArrow(add, "k long, x binary").collect():  # one model
         total[cuts[k] : cuts[k + 1]] = np.frombuffer(x, np.float64)
     return total
 
