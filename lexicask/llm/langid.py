@@ -19,6 +19,7 @@ one; an empty table, or one in which nothing is declared, has only the language
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +62,21 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
 
 
-def evidence(rows: DataFrame, declared: str, address_suffix: str | None, host: str, text: str = "text") -> DataFrame:
-    """rows with the columns that `identify` reads: text, _declared (primary subtag, lower case), _suffix, _host."""
+@dataclass(frozen=True)
+class Evidence:
+    """rows: text, _declared (primary subtag, lower case), _suffix, _host, and the caller's columns under inner names, which cannot clash."""
+
+    rows: DataFrame
+    inner: dict[str, str]
+
+
+def evidence(rows: DataFrame, declared: str, address_suffix: str | None, host: str, text: str = "text") -> Evidence:
     tag = F.lower(F.regexp_extract(F.col(declared).cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
     suffix = F.lower(F.col(address_suffix).cast("string")) if address_suffix else F.lit(None).cast("string")
-    return rows.withColumns({"text": F.col(text).cast("string"), "_declared": F.when(tag != "", tag), "_suffix": suffix, "_host": F.lower(F.col(host).cast("string"))})
+    inner = {c: "text" if c == text else f"_c{k}" for k, c in enumerate(rows.columns)}
+    carried = [F.col(f"`{c}`").alias(x) for c, x in inner.items() if c != text]
+    own = [F.col(text).cast("string").alias("text"), F.when(tag != "", tag).alias("_declared"), suffix.alias("_suffix"), F.lower(F.col(host).cast("string")).alias("_host")]
+    return Evidence(rows.select(*carried, *own), inner)
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -166,19 +177,19 @@ def fuse(rows: DataFrame, names: list[str], wanted: tuple[str, ...] | None = Non
     return out.drop("_ll", "_said", "_score", "_top", "_host", "_suffix", "_host_suffix", "_declared", "_by_host", "_by_suffix")
 
 
-def _judged(rows: DataFrame, carry: list[str], wanted: tuple[str, ...] | None, work: str | None = None) -> tuple[DataFrame, list]:
-    """Judged rows with language, confidence and kept, and the carried columns, which have other names until the end so that none can clash."""
-    names, model = fit(rows)
-    inner = {c: "text" if c == "text" else f"_c{k}" for k, c in enumerate(carry)}
-    own = scored(rows.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items() if c != "text"], "text", "_declared", "_suffix", "_host"), names, model)
-    own = own if "text" in carry else own.drop("text")
-    path = f"{work or shared_dir(rows.sparkSession)}/scored"
+def _judged(found: Evidence, carry: list[str], wanted: tuple[str, ...] | None, work: str | None = None) -> tuple[DataFrame, list]:
+    """Judged rows with language, confidence and kept, and the carried columns."""
+    names, model = fit(found.rows)
+    inner = {c: found.inner[c] for c in carry}
+    own = scored(found.rows.select(*[x for x in inner.values() if x != "text"], "text", "_declared", "_suffix", "_host"), names, model)
+    own = own if "text" in inner.values() else own.drop("text")
+    path = f"{work or shared_dir(found.rows.sparkSession)}/scored"
     return fuse(store(own, path), names, wanted), [F.col(x).alias(c) for c, x in inner.items()]
 
 
-def identify(rows: DataFrame, carry: list[str], wanted: tuple[str, ...] | None = None, work: str | None = None) -> DataFrame:
-    """The columns in carry, language, confidence and kept. rows: as `evidence` makes them."""
-    judged, carried = _judged(rows, carry, wanted, work)
+def identify(found: Evidence, carry: list[str], wanted: tuple[str, ...] | None = None, work: str | None = None) -> DataFrame:
+    """The columns in carry, language, confidence and kept."""
+    judged, carried = _judged(found, carry, wanted, work)
     return judged.select(*carried, "language", "confidence", "kept")
 
 

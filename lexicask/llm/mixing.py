@@ -62,15 +62,16 @@ def schedule(counts: DataFrame, period: int, weights: dict[str, float] | None =
 def mix(docs: DataFrame, block: int = 8, period: int = 1000, weights: dict[str, float] | None = None, source: str = "source") -> DataFrame:
     """docs with block (of its source), slot and position (dense, from 0) in the mixture."""
     own = docs.drop("block", "slot", "position")
+    # the caller's columns travel in a struct, so that none of their names can clash
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = own.select(*own.columns, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), key.alias("_h")).withColumn("_b", F.substring("_h", 1, DIGITS))
+    keyed = own.select(F.struct(*own.columns).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), key.alias("_h")).withColumn("_b", F.substring("_h", 1, DIGITS))
     light = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.substring(key, 1, DIGITS).alias("_b"))
     # counts of each bucket of each source, at most 16 ** DIGITS for a source, and the documents before each
     sizes = light.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_s", "_b", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_n")).alias("_before"))
     plan = schedule(sizes.groupBy(F.col("_s").alias("s")).agg(F.sum("_n").alias("n")), period, weights)
     per_source = plan.select(F.explode(F.arrays_zip("s", "k", "slots")).alias("p")).select(F.col("p.s").alias("_s"), F.col("p.k").alias("_k"), F.col("p.slots").alias("_slots"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "doc_id")) - 1)
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id")) - 1)
     ranked = ranked.join(before, ["_s", "_b"]).withColumn("_g", F.col("_before") + F.col("_r"))
     placed = (
         ranked.join(F.broadcast(per_source), "_s")  # at most `period` rows
@@ -79,12 +80,13 @@ def mix(docs: DataFrame, block: int = 8, period: int = 1000, weights: dict[str,
         .withColumn("_plan", plan.select(F.struct("n", "k", "upto")).scalar())
     )
     position = f"""aggregate(sequence(0, size(_plan.n) - 1), 0L, (t, i) -> t + least(_plan.n[i], {block} * ((slot div {period}) * _plan.k[i] + _plan.upto[i][CAST(slot % {period} AS INT)]))) + _g % {block}"""
-    return placed.withColumn("position", F.expr(position)).select(*own.columns, "block", "slot", "position")
+    return placed.withColumn("position", F.expr(position)).select(*[F.col("_row").getField(c).alias(c) for c in own.columns], "block", "slot", "position")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents, with their own columns, range-sorted in the order of the mixture."""
-    return mix(docs).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("_docs"), "doc_id", "source"))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_docs.*")
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,14 +59,14 @@ def _repeat_words(words: F.Column) -> F.Column:
     return bound(hashes, lambda h: bound(F.sort_array(windows(h)), lambda s: covered(twins(s))))
 
 
-def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, the columns in keep, the measurements and fail_bits."""
-    keep = keep or []
+def ledger(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, the measurements and fail_bits; keep: also row, a struct of all its columns."""
+    row = [F.struct(*docs.columns).alias("row")] if keep else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = docs.select("doc_id", *[c for c in keep if c != "doc_id"], text.alias("_t"), F.array_remove(F.split(text, SPACE), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
+    first = docs.select("doc_id", *row, text.alias("_t"), F.array_remove(F.split(text, SPACE), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     measured = first.select(
         "doc_id",
-        *[c for c in keep if c != "doc_id"],
+        *(["row"] if keep else []),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -103,8 +103,7 @@ def ablations(book: DataFrame, version: str = "v2") -> DataFrame:
 
 def stage(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The documents, with their own columns, that the policy keeps."""
-    book = decide(ledger(docs, keep=docs.columns), version)
-    return book.filter("kept").select(*docs.columns)
+    return decide(ledger(docs, keep=True), version).filter("kept").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,11 +175,12 @@ def test_codes_are_balanced_and_close():
 
 
 def test_languages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("kept", F.lit(5))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"kept": F.lit(5), "_host": F.lit(6), "language": F.lit("z")})
     hidden = docs.withColumn("said", F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-XX"))))
     got = langid.identify(langid.evidence(hidden, "said", None, "source"), ["doc_id", "lang"]).filter("doc_id % 2 = 1").collect()
     assert sum(r.language == r.lang for r in got) >= 0.98 * len(got) and sum(r.kept for r in got) >= 0.98 * len(got)
-    assert langid.stage(docs).columns == docs.columns
+    staged = langid.stage(docs)
+    assert staged.dtypes == docs.dtypes and {tuple(r) for r in staged.select("kept", "_host", "language").collect()} == {(5, 6, "z")}
     assert langid.stage(docs, wanted=("de",)).count() == pytest.approx(docs.filter("lang = 'de'").count(), abs=3)
     assert langid.stage(docs.limit(0)).count() == 0
 
