@@ -16,7 +16,7 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-PRIME = 0x9E3779B97F4A7C15 | 1
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,44 +68,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 2 * len(_POWERS)), PRIME, dtype=np.uint64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+#: Bytes as they are, and with A-Z lower-cased.
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
+LOWER[65:91] += 32
+#: Masks of the first n bytes of a little-endian 64-bit integer.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows in order, the row of each word, and the number of words of each row.
 
-    The whole batch is one numpy pass over its bytes: a word's hash is a polynomial of its bytes (A-Z lower-cased if asked), finalised.
+    The whole batch is done at once: words (A-Z lower-cased if asked) are read in pieces of eight bytes, each piece is mixed with
+    its place, and the sum of a word's pieces with its length. No byte is left out, however long the word.
     """
     data, starts = text_buffer(column)
     n = len(starts) - 1
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        return none
     space = SPACES[data]
-    edge = np.flatnonzero(np.diff(space.view(np.int8)))
-    # the buffer ends in a space, so words are runs that end at an edge into a space
+    edge = np.flatnonzero(space[1:] != space[:-1])
     into = ~space[edge]
-    ends = edge[into] + 1
-    begins = edge[~into] + 1
+    # the buffer ends in a space, so words are runs that end at an edge into a space
+    ends, begins = edge[into] + 1, edge[~into] + 1
     if not space[0]:
         begins = np.concatenate([np.zeros(1, begins.dtype), begins])
     if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+        return none
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(LOWER if lower else SAME, data, out=padded[: len(data)])
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # eight bytes from each byte
     lengths = ends - begins
-    solid = data[~space].astype(np.uint64) + np.uint64(1)
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(len(solid)) - np.repeat(first, lengths)
-    solid *= powers(int(lengths.max()) + 1)[within]
-    h = mixed(np.add.reduceat(solid, first) + lengths.astype(np.uint64))
-    row = np.searchsorted(starts, begins, side="right") - 1
-    return h, row, np.bincount(row, minlength=n).astype(np.int64)
+    pieces = (lengths + 7) >> 3
+    if (pieces == 1).all():
+        total = mixed((eight[begins] & FIRST[lengths]) + STEP)
+    else:
+        first = np.cumsum(pieces) - pieces
+        within = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        at = np.repeat(begins, pieces) + 8 * within
+        value = eight[at] & FIRST[np.minimum(np.repeat(ends, pieces) - at, 8)]
+        total = np.add.reduceat(mixed(value + (within + 1).astype(np.uint64) * STEP), first)
+    h = mixed(total + lengths.astype(np.uint64))
+    row = np.searchsorted(begins, starts)  # words before each row
+    count = np.diff(row)
+    return h, np.repeat(np.arange(n), count), count.astype(np.int64)

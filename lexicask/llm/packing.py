@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import table, words_of
+from lexicask.llm.common import shared_dir, store, table, words_of
 from lexicask.llm.tokenids import tokens
 
 DIMENSIONS, BITS, BUCKETS = 4, 10, 1 << 14
@@ -76,8 +76,8 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def ordered(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id and text, range-partitioned and sorted along the curve."""
+def ordered(docs: DataFrame, parts: int | None = None, work: str | None = None) -> DataFrame:
+    """doc_id and text, range-partitioned and sorted along the curve. The keys are stored with the texts first, so that finding the ranges does not make them twice."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,6 +86,7 @@ def ordered(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(curve_keys(some.column(1)))], names=["doc_id", "text", "curve"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(keyed, "doc_id long, text string, curve long")
+    own = store(own, f"{work or shared_dir(docs.sparkSession)}/curve")
     dealt = own.repartitionByRange(parts, "curve", "doc_id") if parts else own.repartitionByRange("curve", "doc_id")
     return dealt.sortWithinPartitions("curve", "doc_id")
 

@@ -10,12 +10,16 @@ import pyarrow as pa
 
 from lexicask.llm.common import text_buffer
 
-#: Distinct chunks and words whose ids a worker remembers; beyond it the memory is emptied, so it is bounded for any corpus.
-MEMORY = 250_000
+#: Distinct chunks whose ids a worker remembers before the older half of them is forgotten: bounded for any corpus.
+MEMORY = 500_000
 #: Bytes of text whose unknown chunks go to the tokenizer in one call.
 GROUP = 1 << 20
-#: Chunks that need no normalising but lower case: letters of ISO 8859-1, then ASCII marks. Fixed values.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters of ISO 8859-1 in UTF-8, lower case, and digits; fixed values.
+LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: A mark between such a character and white space: a token of its own to this tokenizer.
+MARKED = re.compile(rb"[.,](?:(?<=[a-z0-9][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?=[ \t-\r]|\Z)")
+#: Chunks that are one word and need no normalising but lower case.
+PLAIN = re.compile(rb"(?:" + LETTER + rb")+")
 
 
 def default_path() -> str:
@@ -32,11 +36,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class Tokens:
-    """Ids of texts under word_bpe_49k.json, which drops white space and so never joins text across it.
+    """Ids of texts under word_bpe_49k.json, which lower-cases texts, drops white space and never joins text across it.
 
-    A text is cut at ASCII white space and each chunk's ids are remembered. An unknown chunk of plain letters with marks
-    after it is a word and a run of marks to this tokenizer, and goes to its BPE model; any other goes through the whole
-    tokenizer. The ids are those of the whole text with add_special_tokens=False.
+    A text is lower-cased (A-Z), its marks at ends of words are set apart, it is cut at ASCII white space, and each chunk's ids
+    are remembered. An unknown chunk of plain letters goes to the tokenizer's BPE model, any other through the whole tokenizer.
+    The ids are those of the whole text with add_special_tokens=False. A text with "<|", where case decides whether a special
+    token stands, is cut as it is.
     """
 
     def __init__(self, path: str | None = None):
@@ -47,28 +52,23 @@ class Tokens:
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _word(self, word: str) -> bytes:
-        made = array("I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
-        self.words[word] = made
-        return made
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.words) > MEMORY:
-            self.words = {"": b""}
-        words, others = self.words, []
+        known, others, four, letters = self.known, [], self.four, self.letters
+        plain, tokenize = PLAIN.fullmatch, self.model.tokenize
         for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            if plain := PLAIN.fullmatch(text):
-                word, marks = plain[1].lower(), plain[2]
-                self.known[chunk] = (words.get(word) or self._word(word)) + (words.get(marks) if marks in words else self._word(marks))
+            if chunk.isalpha() and chunk.islower():  # of bytes: ASCII letters
+                known[chunk] = b"".join([four[t.id] for t in tokenize(chunk.decode())])
+            elif plain(chunk):
+                known[chunk] = b"".join([four[t.id] for t in tokenize(chunk.decode().lower().translate(letters))])
             else:
-                others.append((chunk, text))
-        made = self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
-        for (chunk, _), e in zip(others, made, strict=True):
-            self.known[chunk] = array("I", e.ids).tobytes()
+                others.append(chunk)
+        made = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
+        for chunk, e in zip(others, made, strict=True):
+            known[chunk] = array("I", e.ids).tobytes()
 
     def of_texts(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed ids of each UTF-8 text, with the id `end` after it."""
@@ -76,14 +76,20 @@ class Tokens:
         while k < len(texts):
             group, size = [], 0
             while k < len(texts) and (not group or size < GROUP):
-                group.append(texts[k].split())
+                text = texts[k] if b"<|" in texts[k] else MARKED.sub(rb" \g<0>", texts[k].lower())
+                group.append(text.split())
                 size += len(texts[k])
                 k += 1
             seen: set[bytes] = set()
             seen.update(*group)
-            if len(self.known) + len(seen) > MEMORY:
-                self.known = {}
-            self._learn(seen - self.known.keys())
+            if len(self.known) > MEMORY:
+                self.known, self.older = {}, self.known
+            fresh, older = seen.difference(self.known), self.older
+            if older:
+                again = [c for c in fresh if c in older]
+                self.known.update(zip(again, map(older.__getitem__, again)))
+                fresh.difference_update(again)
+            self._learn(fresh)
             get = self.known.__getitem__
             out += [b"".join(map(get, chunks)) + tail for chunks in group]
         return out
