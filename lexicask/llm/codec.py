@@ -5,10 +5,10 @@ Its ids are dealt to lanes of consecutive ids that share one adaptive model; eve
 array operations. An order-2 and an order-1 context each predict an id; an order-0 distribution of the ids seen so far
 holds every other id. The probability that either prediction is right is learnt for each combination of their
 confidences, and the three are mixed into one distribution that drives a carry-less range coder of 64 bits per lane.
-All of the model is integer arithmetic, hence the same for coder and decoder.
+The model is integers and basic operations on doubles, hence the same for coder and decoder.
 
 Block: magic, ids, vocabulary, lanes, crc32 of the ids as little-endian unsigned 32-bit integers, crc32 of the rest;
-then units of each lane, then the units (16 bits each) lane by lane.
+then the number of units of each lane, then the units (32 bits each) lane by lane.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ MAGIC = b"LXR1"
 HEAD = struct.Struct("<4sIIIII")
 #: Ids of a block at most; with a vocabulary of up to 2 ** 19 the order-0 total stays within 2 ** 20.
 MOST = 1 << 19
-LANES, LEAST_STEPS = 2048, 48
+LANES, LEAST_STEPS = 4096, 48
 SCALE = 24
 #: Share of the range that the predictions may take together.
 PREDICTED = (1 << SCALE) - (1 << 20)
+#: Steps after which the order-0 distribution and the weights of the predictions are made anew.
+WINDOW = 16
 U = np.uint64
-TOP, BOTTOM, UNIT, WORD = U(1 << 48), U(1 << 32), U(16), U(48)
+LEAST, UNIT = U(1 << 32), U(32)
 
 
 class Corrupt(ValueError):
@@ -35,52 +37,61 @@ class Corrupt(ValueError):
 
 
 class Model:
+    """What coder and decoder know before a step. Only integers, and products and quotients of doubles, which are exact by IEEE 754."""
+
     def __init__(self, vocab: int, lanes: int):
         self.counts = np.ones(vocab, np.int64)
-        self.cdf = np.arange(vocab + 1, dtype=np.int64)
-        self.next1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.tried, self.right2, self.right1 = (np.zeros(128, np.int64) for _ in range(3))
+        self.cdf = np.arange(vocab + 1, dtype=np.float64)
+        # predicted id * 8 + confidence
+        self.order1, self.order2 = np.zeros(vocab, np.int64), np.zeros(1 << 18, np.int64)
+        self.outcomes = np.zeros(4 * 128, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.recent: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
         self.step = 0
-        self._weights()
-
-    def _weights(self) -> None:
-        of = 2 * self.tried + 4
-        self.weight2 = PREDICTED * (2 * self.right2 + 1) // of
-        self.weight1 = PREDICTED * (2 * self.right1 + 1) // of
+        self._renew()
 
-    def predict(self):
-        """Each lane's two predicted ids, and the parts of the range for them and for the rest."""
-        self.at1 = self.last
+    def _renew(self) -> None:
+        """Weights of the predictions by confidences: how often each was right, of all tries."""
+        if self.recent:
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=len(self.counts))
+            np.cumsum(self.counts, out=self.cdf[1:])
+            self.outcomes += np.bincount(np.concatenate(self.seen), minlength=512)
+            self.recent, self.seen = [], []
+        tried = self.outcomes.reshape(128, 4)
+        of = 2 * tried.sum(axis=1) + 4
+        self.weight2 = PREDICTED * (2 * tried[:, 2] + 1) // of
+        self.weight21 = self.weight2 + PREDICTED * (2 * tried[:, 1] + 1) // of
+        self.scale = ((1 << SCALE) - self.weight21) / self.cdf[-1]
+
+    def predict(self) -> None:
+        """p2, p1: each lane's predicted ids; w2, w21: where their shares of the range end; scale: of the order-0 distribution in the rest."""
         self.at2 = (self.before * 40503 + self.last * 30011) & ((1 << 18) - 1)
-        self.p1, self.p2 = self.next1[self.at1], self.next2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.mix = (self.c2 << 3) + self.c1 + ((self.p1 == self.p2) << 6)
-        self.w2 = self.weight2[self.mix]
-        self.w21 = self.w2 + self.weight1[self.mix]
-        self.rest = (1 << SCALE) - self.w21
-        return self.p2, self.p1, self.w2, self.w21, self.rest
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        self.tried += np.bincount(self.mix, minlength=128)
-        self.right2 += np.bincount(self.mix[hit2], minlength=128)
-        self.right1 += np.bincount(self.mix[hit1 & ~hit2], minlength=128)
-        self._weights()
-        for nxt, sure, at, c, hit in ((self.next1, self.sure1, self.at1, self.c1, hit1), (self.next2, self.sure2, self.at2, self.c2, hit2)):
-            less = c >> 1
-            lost = ~hit & (less == 0)
-            sure[at] = np.where(hit, np.minimum(c + 1, 7), np.maximum(less, 1))
-            nxt[at[lost]] = ids[lost]
+        self.v1, self.v2 = self.order1[self.last], self.order2[self.at2]
+        self.p1, self.p2 = self.v1 >> 3, self.v2 >> 3
+        self.mix = ((self.v2 & 7) << 3) + (self.v1 & 7) + ((self.p1 == self.p2).view(np.int8).astype(np.int64) << 6)
+        self.w2, self.w21, self.s = self.weight2[self.mix], self.weight21[self.mix], self.scale[self.mix]
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """ids: of this step; hit2, hit1: whether they are the predicted ones."""
+        self.seen.append((self.mix << 2) + np.maximum(hit2.view(np.int8) << 1, hit1.view(np.int8)))
+        new = (ids << 3) + 1
+        for table, at, v, hit in ((self.order1, self.last, self.v1, hit1), (self.order2, self.at2, self.v2, hit2)):
+            c = v & 7
+            changed = v - c + (c >> 1)
+            np.copyto(changed, new, where=c <= 1)
+            k = np.flatnonzero(hit)
+            changed[k] = v[k] + (c[k] < 7)
+            table[at] = changed
         self.before, self.last = self.last, ids
         self.recent.append(ids)
         self.step += 1
-        if self.step & 15 == 0 or self.step & (self.step - 1) == 0:
-            self.counts += np.bincount(np.concatenate(self.recent), minlength=len(self.counts))
-            self.recent = []
-            np.cumsum(self.counts, out=self.cdf[1:])
+        if self.renews(self.step):
+            self._renew()
+
+    @staticmethod
+    def renews(step: int) -> bool:
+        return step % WINDOW == 0 or step & (step - 1) == 0
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -88,6 +99,23 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _narrowed(low: np.ndarray, span: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Narrow every lane's range in place; lanes whose upper 32 bits are to leave it."""
+    r = span >> U(SCALE)
+    low += r * start.view(U)
+    np.multiply(r, (stop - start).view(U), out=span)
+    return np.flatnonzero(span < LEAST)
+
+
+def _shift(low: np.ndarray, span: np.ndarray, go: np.ndarray) -> np.ndarray:
+    """Move 32 bits out of the lanes in go; these bits. A range across a border of them is cut there first."""
+    l, s = low[go], span[go]
+    across = ((l ^ (l + s)) >> UNIT) != 0
+    s = np.where(across, (~l + U(1)) & (LEAST - U(1)), s)
+    low[go], span[go] = l << UNIT, s << UNIT
+    return l >> UNIT
+
+
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     """One block of at most MOST ids, each below vocab."""
     n = len(ids)
@@ -102,39 +130,28 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocab, lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    units, at = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    for x in grid:
-        p2, p1, w2, w21, rest = model.predict()
-        total = model.cdf[-1]
-        start = w21 + model.cdf[x] * rest // total
-        stop = w21 + model.cdf[x + 1] * rest // total
-        hit2, hit1 = x == p2, x == p1
-        start = np.where(hit2, 0, np.where(hit1, w2, start))
-        stop = np.where(hit2, w2, np.where(hit1, w21, stop))
-        r = span >> U(SCALE)
-        low += r * start.astype(U)
-        span = r * (stop - start).astype(U)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            go = np.flatnonzero(settled | (span < BOTTOM))
-            if not len(go):
-                break
-            l, s = low[go], span[go]
-            s = np.where(settled[go], s, (~l + U(1)) & (BOTTOM - U(1)))
-            a = at[go]
-            if a.max() >= units.shape[1]:
-                units = np.concatenate([units, np.zeros_like(units)], axis=1)
-            units[go, a] = (l >> WORD).astype(np.uint16)
-            at[go] = a + 1
-            low[go], span[go] = l << UNIT, s << UNIT
-        model.learn(x)
-    last = (low + (BOTTOM - U(1))) & ~(BOTTOM - U(1))
-    if at.max() + 2 > units.shape[1]:
-        units = np.concatenate([units, np.zeros((lanes, 2), np.uint16)], axis=1)
-    every = np.arange(lanes)
-    units[every, at], units[every, at + 1] = (last >> WORD).astype(np.uint16), ((last >> U(32)) & U(0xFFFF)).astype(np.uint16)
-    at += 2
-    body = at.astype("<u4").tobytes() + units[np.arange(units.shape[1])[None, :] < at[:, None]].astype("<u2").tobytes()
+    units, at = np.zeros((lanes, steps + 8), np.uint32), np.zeros(lanes, np.int64)
+    first = 0
+    for t in range(steps):
+        if t == 0 or model.renews(t):  # until the next change the order-0 places of the ids are known
+            first, most = t, min(steps, t + WINDOW)
+            starts, stops = model.cdf[grid[first:most]], model.cdf[grid[first:most] + 1]
+        x = grid[t]
+        model.predict()
+        start = (starts[t - first] * model.s).astype(np.int64) + model.w21
+        stop = (stops[t - first] * model.s).astype(np.int64) + model.w21
+        hit2, hit1 = x == model.p2, x == model.p1
+        k = np.flatnonzero(hit1)
+        start[k], stop[k] = model.w2[k], model.w21[k]
+        k = np.flatnonzero(hit2)
+        start[k], stop[k] = 0, model.w2[k]
+        go = _narrowed(low, span, start, stop)
+        units[go, at[go]] = _shift(low, span, go)
+        at[go] += 1
+        model.learn(x, hit2, hit1)
+    units[np.arange(lanes), at] = (low + (LEAST - U(1))) >> UNIT
+    at += 1
+    body = at.astype("<u4").tobytes() + units[np.arange(units.shape[1])[None, :] < at[:, None]].astype("<u4").tobytes()
     return HEAD.pack(MAGIC, n, vocab, lanes, check, zlib.crc32(body)) + body
 
 
@@ -144,53 +161,42 @@ def decode_block(block: bytes) -> np.ndarray:
         raise Corrupt("the block is cut short")
     magic, n, vocab, lanes, check, body_check = HEAD.unpack_from(block)
     body = block[HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != body_check:
+    if magic != MAGIC or zlib.crc32(body) != body_check or not (0 < lanes <= LANES and n <= MOST):
         raise Corrupt("the block's bytes are damaged")
     steps = -(-n // lanes)
     size = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    flat = np.frombuffer(body, "<u2", int(size.sum()), 4 * lanes)
-    flat = np.concatenate([flat, np.zeros(8, np.uint16)]).astype(U)
-    at = np.cumsum(size) - size
-    end = at + size
-    code = np.zeros(lanes, U)
-
-    def following(where, most):
-        return np.where(where < most, flat[np.minimum(where, len(flat) - 1)], U(0))
-
-    for _ in range(4):
-        code = (code << UNIT) | following(at, end)
-        at = at + 1
+    # each lane's units and two zeros after them, side by side
+    units = np.zeros((lanes, int(size.max()) + 2), U)
+    units[np.arange(units.shape[1])[None, :] < size[:, None]] = np.frombuffer(body, "<u4", int(size.sum()), 4 * lanes)
+    code, at = (units[:, 0] << UNIT) | units[:, 1], np.full(lanes, 2)
     model = Model(vocab, lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     out = np.zeros((steps, lanes), np.int64)
+    top = U((1 << SCALE) - 1)
     for t in range(steps):
-        p2, p1, w2, w21, rest = model.predict()
-        total = model.cdf[-1]
-        r = span >> U(SCALE)
-        value = np.minimum((code - low) // r, U((1 << SCALE) - 1)).astype(np.int64)
-        other = np.maximum(value - w21, 0)
-        x = np.searchsorted(model.cdf, ((other + 1) * total - 1) // rest, side="right") - 1
-        start = w21 + model.cdf[x] * rest // total
-        stop = w21 + model.cdf[x + 1] * rest // total
-        hit2, hit21 = value < w2, value < w21
-        x = np.where(hit2, p2, np.where(hit21, p1, x))
-        start = np.where(hit2, 0, np.where(hit21, w2, start))
-        stop = np.where(hit2, w2, np.where(hit21, w21, stop))
-        low += r * start.astype(U)
-        span = r * (stop - start).astype(U)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            go = np.flatnonzero(settled | (span < BOTTOM))
-            if not len(go):
-                break
-            l, s = low[go], span[go]
-            s = np.where(settled[go], s, (~l + U(1)) & (BOTTOM - U(1)))
-            a = at[go]
-            code[go] = (code[go] << UNIT) | following(a, end[go])
-            at[go] = a + 1
-            low[go], span[go] = l << UNIT, s << UNIT
+        model.predict()
+        value = np.minimum((code - low) // (span >> U(SCALE)), top).view(np.int64)
+        hit2, below = value < model.w2, value < model.w21
+        k = np.flatnonzero(~below)
+        w21, s = model.w21[k], model.s[k]
+        other = value[k] - w21
+        # the last id that starts at or before `other`; a double may be off by one id at a border
+        y = np.minimum(np.searchsorted(model.cdf, (other + 1) / s) - 1, vocab - 1)
+        y0, y1 = (model.cdf[y] * s).astype(np.int64), (model.cdf[y + 1] * s).astype(np.int64)
+        for off, turn in ((y0 > other, -1), (y1 <= other, 1)):
+            if off.any():
+                y = np.clip(y + turn * off, 0, vocab - 1)
+                y0, y1 = (model.cdf[y] * s).astype(np.int64), (model.cdf[y + 1] * s).astype(np.int64)
+        x, start, stop = model.p1.copy(), model.w2.copy(), model.w21.copy()
+        h = np.flatnonzero(hit2)
+        x[h], start[h], stop[h] = model.p2[h], 0, model.w2[h]
+        x[k], start[k], stop[k] = y, y0 + w21, y1 + w21
+        go = _narrowed(low, span, start, stop)
+        _shift(low, span, go)
+        code[go] = (code[go] << UNIT) | units[go, np.minimum(at[go], units.shape[1] - 1)]
+        at[go] += 1
         out[t] = x
-        model.learn(x)
+        model.learn(x, hit2, x == model.p1)
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != check:
         raise Corrupt("the ids differ from those that were written")
