@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def deltas(values: Column) -> Column:
     """First value, then differences of neighbours. Null: null; empty: empty."""
-    return F.zip_with(values, F.concat(F.array(F.lit(0)), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))), lambda x, y: x - F.coalesce(y, F.lit(0)))
+    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), values), F.lit(1), F.size(values))
+    return F.zip_with(values, before, lambda x, y: x - y)
 
 
 def undeltas(values: Column) -> Column:
