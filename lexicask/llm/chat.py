@@ -99,8 +99,8 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int,
             escaped = [True] * len(turns)
 
 
-def formatted(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Rows of OUTPUT."""
+def formatted(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), most: int = CHUNK) -> DataFrame:
+    """Rows of OUTPUT; a chunk ends after `most` characters of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -113,13 +113,13 @@ def formatted(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistan
 
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if turns and (conv != now or size >= CHUNK):
+                if turns and (conv != now or size >= most):
                     close()
                     chunk, turns, size = (chunk + 1 if conv == now else 0), [], 0
                 now = conv
                 turns.append((role, text))
                 size += len(text)
-                if len(rows) >= 1000 or size >= CHUNK and rows:
+                if len(rows) >= 1000 or size >= most and rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
         if turns:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256, most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `most` bytes of a string column, a row at least: what is worked on together."""
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = upto[a - 1] if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(upto, before + most, side="right"))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array of uint64."""
     h = h ^ (h >> np.uint64(33))

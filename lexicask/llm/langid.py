@@ -23,12 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexicask.llm.common import shared_dir, store, table, text_buffer
+from lexicask.llm.common import shared_dir, slices, store, table, text_buffer
 
 #: Rows of each declared language that the text model is fitted on, about; languages that are told apart, the most declared ones.
 SAMPLE, LANGUAGES = 2000, 64
@@ -37,7 +36,6 @@ FEATURES = 1 << 15
 WEIGHT = 64.0
 #: Rows that a parent's shares count for in its child's.
 PULL = 20.0
-PIECE = 1 << 21
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -47,17 +45,6 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return ((long[:-2] << np.uint32(16) | long[1:-1] << np.uint32(8) | long[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about PIECE bytes of text."""
-    column = batch.column("text")
-    size = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    part = np.cumsum(size) // PIECE
-    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(bounds, bounds[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
 
@@ -87,14 +74,15 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         return ["und"], np.zeros((FEATURES + 1, 1), np.float32)
     share = {r["_declared"]: min(1.0, SAMPLE / r["n"]) for r in counts}
     drawn = F.lit(False)
+    place_of = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(1 << 40))  # of the whole row, so that copies of one text are not drawn together
     for name, p in share.items():
-        drawn = drawn | ((F.col("_declared") == name) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(p * 1_000_000)))
+        drawn = drawn | ((F.col("_declared") == name) & (place_of < int(p * (1 << 40))))
     place = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), FEATURES), np.int64)
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, 4096):
                 data, starts = text_buffer(some.column("text"))
                 kind = np.array([place[x] for x in some.column("_declared").to_pylist()])
                 lengths = np.diff(starts)
@@ -103,7 +91,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         k, f = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(total[k, f])], names=["k", "f", "n"])
 
-    found = rows.select("_declared", "text").filter(drawn).mapInArrow(count, "k long, f long, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.filter(drawn).select("_declared", "text").mapInArrow(count, "k long, f long, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((FEATURES + 1, len(names)))
     n[found.column("f").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
     logs = np.log((n[:-1] + 0.5) / (n[:-1].sum(axis=0) + 0.5 * FEATURES))
@@ -116,7 +104,7 @@ def scored(rows: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, 4096):
                 data, starts = text_buffer(some.column("text"))
                 feature, lengths = _trigrams(data), np.diff(starts)
                 feature[starts[1:] - 1] = FEATURES  # trigrams that begin at a text's end or cross into the next text

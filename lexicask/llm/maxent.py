@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import mixed, shared_dir, store, table, words_of
+from lexicask.llm.common import mixed, shared_dir, slices, store, table, words_of
 
 CHUNK = 4 << 20
 CLASSES = 32  # and subclasses of each
@@ -51,8 +51,8 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of CHUNKS; counts are of the training texts of the chunk."""
+def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
+    """Rows of CHUNKS, of about `most` bytes of text; counts are of the training texts of the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,14 +71,13 @@ def chunks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for some in slices(batch, most=most):
                 h, _, n = words_of(some.column("text"))
                 ids += some.column("doc_id").to_pylist()
                 lengths += (n + 1).tolist()
                 words.append(np.insert(h, np.cumsum(n), END))
                 size += some.column("text").nbytes
-                if size >= CHUNK:
+                if size >= most:
                     yield close()
                     seq, ids, lengths, words, size = seq + 1, [], [], [], 0
         if ids:
@@ -268,11 +267,11 @@ def _summed(parts: DataFrame, cuts: list[int]) -> np.ndarray:
     return total
 
 
-def scores(docs: DataFrame, work: str | None = None) -> DataFrame:
+def scores(docs: DataFrame, work: str | None = None, most: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     work = work or shared_dir(spark)
-    read = store(chunks(docs), f"{work}/chunks")
+    read = store(chunks(docs, most), f"{work}/chunks")
     found = store(totals(read, max(16, int(16 * read.count() ** 0.5))), f"{work}/totals")
     sums = _added(found.filter("chunk IS NULL"), "counts", np.int64, 2 * BUCKETS).reshape(2, BUCKETS)
     n, v = int(sums[0].sum()), int(sums[1].sum())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import mixed, shared_dir, store, table, words_of
+from lexicask.llm.common import mixed, shared_dir, slices, store, table, words_of
 from lexicask.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -60,10 +60,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.int64), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, GROUP):
-                some = batch.column(0).slice(a, GROUP)
-                cells += word_cells(some)
-                n += len(some)
+            for some in slices(batch, GROUP):
+                cells += word_cells(some.column("text"))
+                n += some.num_rows
         if n:
             blocks = [cells[k : k + width].tobytes() for k in range(0, CELLS, width)] + [np.array([n], np.int64).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], names=["k", "part"])
@@ -169,8 +168,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, GROUP):
-                some = batch.slice(a, GROUP)
+            for some in slices(batch, GROUP):
                 value, weight, count, h1, h2 = shingles(some.column("text"), idf)
                 sig = samples(value, weight, count)
                 keep = np.flatnonzero(count)
@@ -222,8 +220,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
             return [(value[s - c : s], weight[s - c : s]) for s, c in zip(stop.tolist(), count.tolist())]
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for some in slices(batch, column="tb"):
                 found = []
                 for (va, wa), (vb, wb) in zip(sets(some.column("ta")), sets(some.column("tb")), strict=True):
                     i = np.searchsorted(vb, va)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicask.llm.codec import MOST, decode_block, encode_block
-from lexicask.llm.common import shared_dir, table
+from lexicask.llm.common import shared_dir, slices, table
 from lexicask.llm.tokenids import tokens
 
 SEGMENT = "part int, before long, doc_ids array<long>, lengths array<long>, n_tokens long, frames binary"
@@ -59,8 +59,7 @@ def write(docs: DataFrame, path: str, end: int = 1, tokenizer: str | None = None
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for some in slices(batch):
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), worker.of_column(some.column("text"), end), strict=True):
                     n = len(ids) // 4
                     if kept and size + n > MOST:

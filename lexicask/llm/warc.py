@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import table
+from lexicask.llm.common import slices, table
 
 #: Date of records whose source gives none.
 DATE = "1970-01-01T00:00:00Z"
@@ -125,9 +125,9 @@ def derive(pages: DataFrame, date: str = DATE) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")]
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
+            for some in slices(batch, 128, column="html"):
                 rows = []
-                for page_id, uri, page in zip(*(batch.column(c).slice(a, 128).to_pylist() for c in ("page_id", "url", "html"))):
+                for page_id, uri, page in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                     (source, payload_digest, _), made = derivatives(uri, page, date)
                     rows += [(page_id, kind, rid, source, _line(uri), content_type, own, payload_digest, n, headers, block) for kind, rid, content_type, own, n, headers, block in made]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

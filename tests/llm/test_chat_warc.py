@@ -31,17 +31,17 @@ def test_grammar_is_strict(bad):
         chat.parse(bad)
 
 
-def test_conversations(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK", 40)
+def test_conversations(spark):
     rows = [(1, 1, "assistant", "two"), (1, 0, "user", "one"), (1, 1, "assistant", "two"), (2, None, None, None), (None, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "é" * 100), (3, 1, "user", "q"), (3, 2, "assistant", "")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn int, role string, text string, chunk int").repartition(3)
-    got = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(df, most=40)).collect()}
     sha = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert set(got) == {1, 2, 3, None}
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (3, sha(("user", "one"), ("assistant", "two"), ("assistant", "two")), 6)
     assert (got[2].n_turns, got[2].turns_sha256, got[2].loss_chars, got[2].loss_sha256) == (1, sha(("", "")), 0, hashlib.sha256().hexdigest())
     assert got[None].loss_sha256 == hashlib.sha256(b"<|im_end|>").hexdigest() and got[None].loss_chars == 10
     assert (got[3].n_turns, got[3].loss_chars) == (3, 100) and got[3].loss_sha256 == hashlib.sha256(("é" * 100).encode()).hexdigest()
+    assert chat.formatted(df, most=40).filter("conv_id = 3").count() > 1
     assert chat.digests(chat.formatted(df.limit(0))).count() == 0
 
 

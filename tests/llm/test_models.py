@@ -206,8 +206,7 @@ def test_pages(spark, sf):
 # -- language model
 
 
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(maxent, "CHUNK", 20_000)
+def test_language_model(spark):
     rng = random.Random(5)
     follow = {w: rng.choices(WORDS, k=2) for w in WORDS}
     texts = []
@@ -219,7 +218,8 @@ def test_language_model(spark, monkeypatch):
     texts += [None, "", "neverseen", " \t\n", texts[0]]
     rows = [*enumerate(texts), (None, "ba"), (3, texts[3])]
     df = spark.createDataFrame([(*r, "u") for r in rows], "doc_id long, text string, score string").repartition(3)
-    got = maxent.scores(df).collect()
+    got = maxent.scores(df, most=20_000).collect()
+    assert maxent.chunks(df, 20_000).count() > 6  # in three partitions
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2

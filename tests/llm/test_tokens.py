@@ -25,7 +25,7 @@ def expected(text, end):
 
 
 def test_ids_are_the_tokenizers_own(monkeypatch):
-    for memory in (500_000, 3):
+    for memory in (900_000, 3):
         monkeypatch.setattr(tokenids, "MEMORY", memory)
         got = tokenids.Tokens().of_column(pa.array(TEXTS), 7)
         for text, ids in zip(TEXTS, got):
@@ -122,6 +122,16 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_many_rows_in_a_batch(spark, tmp_path):
+    """More documents in one Arrow batch than are worked on together."""
+    n = 3 * packing.GROUP + 7
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    got = packing.pack(df, parts=1).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(got) == n and all(r["sum(length)"] == r["max(doc_tokens)"] for r in got)
+    tokenfiles.write(df, f"file://{tmp_path}/many")
+    assert sorted(r.doc_id for r in tokenfiles.digests(spark, f"file://{tmp_path}/many").collect()) == list(range(n))
+
+
 def test_neighbours_on_the_curve(spark, sf):
     """Texts of one language lie together more often than in the order of doc_ids."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
@@ -129,3 +139,13 @@ def test_neighbours_on_the_curve(spark, sf):
     lang = docs.lang.to_numpy()
     together = lambda x: (x[1:] == x[:-1]).mean()
     assert together(lang[order]) > together(lang) + 0.1
+
+
+def test_slices():
+    from lexicask.llm.common import slices
+
+    for texts in ([], ["a"], ["x" * 50] * 9 + [None, "", "y" * 500] + ["z"] * 700):
+        batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+        parts = list(slices(batch, rows=100, most=120))
+        assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(len(texts)))
+        assert all(p.num_rows == 1 or p.num_rows <= 100 and sum(len(t or "") for t in p.column("text").to_pylist()) <= 120 for p in parts)
