@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import shared_dir, store, table, words_of
+from lexicask.llm.common import shared_dir, slices, store, table, words_of
 from lexicask.llm.tokenids import tokens
 
 DIMENSIONS, BITS, BUCKETS = 4, 10, 1 << 14
+#: Documents that are hashed or tokenized together.
+GROUP = 256
 #: Standard deviation of a mean projected word vector that is spread over the steps.
 SPREAD = 0.25
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -31,7 +33,9 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(1)
 def projection() -> np.ndarray:
-    return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
+    """What a word adds to each dimension: a row for each bucket and sign."""
+    plus = np.random.default_rng(20).standard_normal((DIMENSIONS, BUCKETS)).astype(np.float32)
+    return np.concatenate([plus, -plus], axis=1)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,13 +69,12 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     """Hilbert key of each text of a string column."""
     h, row, n = words_of(column)
     spots = np.zeros((len(n), DIMENSIONS))
-    bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
-    sign = np.where(h >> np.uint64(63), np.float32(1), np.float32(-1))
+    bucket = (h & np.uint64(2 * BUCKETS - 1)).view(np.int64)
     some = np.flatnonzero(n)
     if len(some):
         first = (np.cumsum(n) - n)[some]
         for d in range(DIMENSIONS):
-            spots[some, d] = np.add.reduceat(projection()[bucket, d] * sign, first, dtype=np.float64) / n[some]
+            spots[some, d] = np.add.reduceat(projection()[d].take(bucket), first, dtype=np.float64) / n[some]
     even = 1 / (1 + np.exp(-1.702 * spots / SPREAD))  # the logistic curve close to the normal distribution
     return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
@@ -81,8 +84,7 @@ def ordered(docs: DataFrame, parts: int | None = None, work: str | None = None)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                some = batch.slice(a, 1024)
+            for some in slices(batch, GROUP):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(curve_keys(some.column(1)))], names=["doc_id", "text", "curve"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(keyed, "doc_id long, text string, curve long")
@@ -121,8 +123,7 @@ def pack(docs: DataFrame, length: int = 4096, end: int = 2, tokenizer: str | Non
             return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for some in slices(batch, GROUP):
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), worker.of_column(some.column("text"), end), strict=True):
                     total, at = len(ids) // 4, 0
                     while at < total:

@@ -11,13 +11,13 @@ import pyarrow as pa
 from lexicask.llm.common import text_buffer
 
 #: Distinct chunks whose ids a worker remembers before the older half of them is forgotten: bounded for any corpus.
-MEMORY = 500_000
+MEMORY = 900_000
 #: Bytes of text whose unknown chunks go to the tokenizer in one call.
 GROUP = 1 << 20
 #: Letters of ISO 8859-1 in UTF-8, lower case, and digits; fixed values.
 LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-#: A mark between such a character and white space: a token of its own to this tokenizer.
-MARKED = re.compile(rb"[.,](?:(?<=[a-z0-9][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?=[ \t-\r]|\Z)")
+#: A run of ASCII marks between such a character and white space: a token of its own to this tokenizer's rules.
+MARKED = re.compile(rb"[!-/:-@[-`{-~](?:(?<=[a-z0-9][!-/:-@[-`{-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-/:-@[-`{-~]))[!-/:-@[-`{-~]*(?=[ \t-\r]|\Z)")
 #: Chunks that are one word and need no normalising but lower case.
 PLAIN = re.compile(rb"(?:" + LETTER + rb")+")
 
