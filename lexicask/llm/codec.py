@@ -27,7 +27,7 @@ SCALE = 24
 #: Share of the range that the predictions may take together.
 PREDICTED = (1 << SCALE) - (1 << 20)
 #: Steps after which the order-0 distribution and the weights of the predictions are made anew.
-WINDOW = 16
+WINDOW = 32
 U = np.uint64
 LEAST, UNIT = U(1 << 32), U(32)
 
@@ -39,7 +39,9 @@ class Corrupt(ValueError):
 class Model:
     """What coder and decoder know before a step. Only integers, and products and quotients of doubles, which are exact by IEEE 754."""
 
-    def __init__(self, vocab: int, lanes: int):
+    def __init__(self, vocab: int, lanes: int, finds: bool = False):
+        """finds: keep the id at each place of the order-0 distribution, for a decoder."""
+        self.finds = finds
         self.counts = np.ones(vocab, np.int64)
         self.cdf = np.arange(vocab + 1, dtype=np.float64)
         # predicted id * 8 + confidence
@@ -58,6 +60,8 @@ class Model:
             np.cumsum(self.counts, out=self.cdf[1:])
             self.outcomes += np.bincount(np.concatenate(self.seen), minlength=512)
             self.recent, self.seen = [], []
+        if self.finds:
+            self.id_at = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         tried = self.outcomes.reshape(128, 4)
         of = 2 * tried.sum(axis=1) + 4
         self.weight2 = PREDICTED * (2 * tried[:, 2] + 1) // of
@@ -169,7 +173,7 @@ def decode_block(block: bytes) -> np.ndarray:
     units = np.zeros((lanes, int(size.max()) + 2), U)
     units[np.arange(units.shape[1])[None, :] < size[:, None]] = np.frombuffer(body, "<u4", int(size.sum()), 4 * lanes)
     code, at = (units[:, 0] << UNIT) | units[:, 1], np.full(lanes, 2)
-    model = Model(vocab, lanes)
+    model = Model(vocab, lanes, finds=True)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     out = np.zeros((steps, lanes), np.int64)
     top = U((1 << SCALE) - 1)
@@ -180,13 +184,14 @@ def decode_block(block: bytes) -> np.ndarray:
         k = np.flatnonzero(~below)
         w21, s = model.w21[k], model.s[k]
         other = value[k] - w21
-        # the last id that starts at or before `other`; a double may be off by one id at a border
-        y = np.minimum(np.searchsorted(model.cdf, (other + 1) / s) - 1, vocab - 1)
+        # the last id that starts at or before `other`; a double may be off by one place at a border
+        y = model.id_at[np.minimum(np.ceil((other + 1) / s).astype(np.int64), len(model.id_at)) - 1].astype(np.int64)
         y0, y1 = (model.cdf[y] * s).astype(np.int64), (model.cdf[y + 1] * s).astype(np.int64)
         for off, turn in ((y0 > other, -1), (y1 <= other, 1)):
             if off.any():
-                y = np.clip(y + turn * off, 0, vocab - 1)
-                y0, y1 = (model.cdf[y] * s).astype(np.int64), (model.cdf[y + 1] * s).astype(np.int64)
+                i = np.flatnonzero(off)
+                y[i] = np.clip(y[i] + turn, 0, vocab - 1)
+                y0[i], y1[i] = (model.cdf[y[i]] * s[i]).astype(np.int64), (model.cdf[y[i] + 1] * s[i]).astype(np.int64)
         x, start, stop = model.p1.copy(), model.w2.copy(), model.w21.copy()
         h = np.flatnonzero(hit2)
         x[h], start[h], stop[h] = model.p2[h], 0, model.w2[h]
