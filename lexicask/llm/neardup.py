@@ -9,8 +9,11 @@ sum of min weights / sum of max weights.
 1. Texts with equal words form one exact class; only its smallest doc_id goes on.
 2. `SAMPLES` consistent weighted samples of each text, in bands of `ROWS`: texts that share a band meet.
 3. Buckets up to `FEW` texts give all their pairs. A larger one is split by the samples of four other bands, and small parts again
-   give all pairs; every larger bucket also links each text to a centre that differs from bucket to bucket. So no group gives the
-   square of its size, and similar texts meet through many buckets.
+   give all pairs; every larger bucket also links each text to a centre that differs from bucket to bucket.
+   Texts of larger buckets are also joined by prefixes, which misses no pair: a text's shingles in one order of all, the rare ones
+   first, up to where the rest weighs less than `SIMILAR` of the whole. Two similar texts share a shingle of both prefixes, and a
+   passage that many texts share is in few of them. A prefix shingle of more than `FEW` texts is cut into blocks of `BLOCK` texts,
+   and every pair of blocks compares its texts of different classes (of the links verified so far) by their samples.
 4. Pairs whose samples agree too rarely to be similar (see SCREEN) go; the rest are verified on the texts, first one pair for each
    text, then every pair whose texts are not yet in one class.
 5. Verified links are joined to classes; a class is named by its smallest doc_id.
@@ -38,6 +41,8 @@ BANDS = SAMPLES // ROWS
 #: Cells of the table of word document frequencies.
 CELLS = 1 << 18
 FEW = 24
+#: Cells of the table of shingle counts that orders shingles, and texts of a block of a crowded prefix shingle.
+ORDER_CELLS, BLOCK = 1 << 20, 512
 #: Samples that must agree for a pair to be verified: of 30 at similarity 0.8, fewer than 15 agree once in 10,000 pairs.
 SCREEN = 15
 #: Documents that are hashed together.
@@ -53,18 +58,18 @@ def word_cells(column: pa.Array) -> np.ndarray:
     return np.bincount((pairs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, cells_of=word_cells, size: int = CELLS) -> tuple[int, np.ndarray]:
     """Texts, and texts with a word in each cell: partial tables are added by cell block on the executors."""
     width = 4096
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(CELLS, np.int64), 0
+        cells, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for some in slices(batch, GROUP):
-                cells += word_cells(some.column("text"))
+                cells += cells_of(some.column("text"))
                 n += some.num_rows
         if n:
-            blocks = [cells[k : k + width].tobytes() for k in range(0, CELLS, width)] + [np.array([n], np.int64).tobytes()]
+            blocks = [cells[k : k + width].tobytes() for k in range(0, size, width)] + [np.array([n], np.int64).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], names=["k", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +81,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "part"])
 
     partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k long, part binary")
-    rows = partial.repartition("k").mapInArrow(add, "k long, part binary").collect()  # CELLS numbers, whatever the input
-    cells = np.zeros(CELLS, np.int64)
+    rows = partial.repartition("k").mapInArrow(add, "k long, part binary").collect()  # `size` numbers, whatever the input
+    cells = np.zeros(size, np.int64)
     total = 0
     for k, part in rows:
         part = np.frombuffer(part, np.int64)
-        if k * width < CELLS:
+        if k * width < size:
             cells[k * width : k * width + width] = part
         else:
             total = int(part[0])
@@ -198,8 +203,8 @@ def _pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, met.filter(F.col("n") > FEW)
 
 
-def candidates(reps: DataFrame, work: str) -> DataFrame:
-    """Distinct pairs a < b of rep that meet. reps: rep, sig, bands."""
+def candidates(reps: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of rep that meet, and the texts (rep) of buckets that were too large to give all theirs. reps: rep, sig, bands."""
     level = reps.select("rep", "bands", F.posexplode("bands").alias("band", "key"))
     small, large = _pairs(level)
     large = store(large.select("rep", "bands", "band", "key", "centre"), f"{work}/large")
@@ -207,7 +212,69 @@ def candidates(reps: DataFrame, work: str) -> DataFrame:
     split, rest = _pairs(large.select("rep", F.explode(other).alias("key")))
     stars = large.select("rep", "centre").unionAll(rest.select("rep", "centre")).filter("rep <> centre")
     stars = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    return small.unionAll(split).unionAll(stars).distinct()
+    return small.unionAll(split).unionAll(stars).distinct(), large.select("rep").distinct()
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+    """rep and key, a hash of each shingle of the text's prefix."""
+
+    def cells_of(column: pa.Array) -> np.ndarray:
+        value = shingles(column, idf)[0]
+        return np.bincount((value >> np.uint64(44)).astype(np.int64), minlength=ORDER_CELLS)
+
+    # the order only has to be one and the same for all texts: shingles of one cell count together, and their hashes decide
+    seen = document_frequencies(texts, cells_of, ORDER_CELLS)[1].astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, GROUP):
+                value, weight, count, _, _ = shingles(some.column("text"), idf)
+                row = np.repeat(np.arange(some.num_rows), count)
+                order = np.lexsort((value, seen[(value >> np.uint64(44)).astype(np.int64)], row))
+                weight = weight[order]
+                upto = np.cumsum(weight)
+                whole = np.bincount(row, weights=weight, minlength=some.num_rows)
+                before = upto - weight - (np.cumsum(whole) - whole)[row]
+                # a shingle is in if what begins with it could still be enough by itself
+                keep = np.flatnonzero(whole[row] - before >= (similar - 1e-6) * whole[row])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row[keep])), pa.array(value[order][keep].view(np.int64))], names=["rep", "key"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, key long")
+
+
+def crowded_pairs(texts: DataFrame, reps: DataFrame, so_far: DataFrame, idf: np.ndarray, similar: float, work: str) -> DataFrame:
+    """Distinct pairs a < b of texts that share a prefix shingle; of crowded ones those whose samples agree and that are not in one class of so_far."""
+    keyed = store(prefixes(texts, idf, similar), f"{work}/prefixes")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = keyed.join(sizes, "key")
+    lists = met.filter(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    inner = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    small = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
+    named = met.filter(F.col("n") > FEW).join(so_far.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep"))
+    named = store(named.select("key", "rep", "n", "class"), f"{work}/crowded")
+    mixed_ = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+    blocks = F.expr(f"CAST((n + {BLOCK} - 1) div {BLOCK} AS INT)")
+    own = named.join(mixed_, "key").join(reps.select("rep", "sig"), "rep").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("i"), F.greatest(o, F.col("at")).alias("j")))
+    dealt = own.select("key", "rep", "class", "sig", "at", F.explode(meetings).alias("g")).select("key", "rep", "class", "sig", "at", "g.i", "g.j")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, kind, at = (group.column(c).to_numpy() for c in ("rep", "class", "at"))
+        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        found = []
+        for k in range(0, len(left), BLOCK):
+            some = left[k : k + BLOCK]
+            agree = np.zeros((len(some), len(right)), np.uint8)
+            for s in range(SAMPLES):
+                agree += sig[some, s][:, None] == sig[right, s]
+            x, y = np.nonzero((agree >= SCREEN) & (kind[some][:, None] != kind[right]) & ((rep[some][:, None] < rep[right]) | (i != j)))
+            found.append((rep[some[x]], rep[right[y]]))
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return small.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
@@ -238,9 +305,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
     return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and text of every document in a pair: the one shuffle of all texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_of(pairs: DataFrame, crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text and whether it is in crowd, of every document in a pair or in crowd: the one shuffle of all texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("crowded")).unionAll(crowd.select("rep", F.lit(True)))
+    ids = ids.groupBy("doc_id").agg(F.max("crowded").alias("crowded"))
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return own.join(ids.hint("merge"), "doc_id")
 
@@ -252,16 +320,19 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None
     idf = idf_table(*document_frequencies(docs))
     signed = store(signatures(docs, idf), f"{work}/signed")
     reps = store(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), f"{work}/reps")
-    met = candidates(reps.select("rep", "bands"), work)
+    met, crowd = candidates(reps.select("rep", "bands"), work)
     a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    pairs = store(met.join(a, "a").join(b, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= SCREEN), f"{work}/pairs")
-    texts = store(texts_of(pairs, docs), f"{work}/texts")
+    screened = lambda met: met.join(a, "a").join(b, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= SCREEN)
+    pairs = store(screened(met), f"{work}/pairs")
+    texts = store(texts_of(pairs, crowd, docs), f"{work}/texts")
     # one pair for each text first: the one that agrees most
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     first = store(verified(best, texts, idf, similar), f"{work}/first")
     so_far = store(components(first, f"{work}/first_classes"), f"{work}/so_far")
     of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    more = screened(crowded_pairs(texts.filter("crowded"), reps, so_far, idf, similar, work))
+    pairs = pairs.unionAll(more).select("a", "b").distinct()
     apart = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     second = store(verified(store(apart.select("a", "b"), f"{work}/apart"), texts, idf, similar), f"{work}/second")
     links = first.select("a", "b").unionAll(second.select("a", "b"))

@@ -123,6 +123,27 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_in_a_crowd_that_shares_a_passage(spark):
+    """Hundreds of texts share a long passage and lie below the limit to each other; planted pairs lie just over it."""
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    shared, n = text(500), 500
+    texts = {k: [*text(10), *shared, *text(10)] for k in range(n)}
+    for k in range(n, 2 * n):  # a copy of k - n with two other words
+        texts[k] = list(texts[k - n])
+        texts[k][4], texts[k][7] = text(2)
+    column = pa.array([" ".join(texts[k]) for k in range(2 * n)])
+    idf = neardup.idf_table(2 * n, neardup.word_cells(column))
+    value, weight, count, _, _ = neardup.shingles(column, idf)
+    stop = np.cumsum(count)
+    sets = [dict(zip(value[s - c : s].tolist(), weight[s - c : s].tolist())) for s, c in zip(stop.tolist(), count.tolist())]
+    similarity = lambda a, b: (x := sum(w for s, w in sets[a].items() if s in sets[b])) / (sum(sets[a].values()) + sum(sets[b].values()) - x)
+    assert all(0.8 <= similarity(k, k + n) < 0.84 for k in range(n)) and all(0.5 < similarity(k, k + 1) < 0.7 for k in range(n - 1))
+    df = spark.createDataFrame(list(enumerate(column.to_pylist())), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert sum(got[k] != k % n for k in range(2 * n)) == 0
+
+
 # -- embeddings
 
 
