@@ -13,7 +13,7 @@ both, and a bias that holds the class's share of the training tokens. The third
    sends every chunk the totals of its own words. So no task and no table that is sent around holds the vocabulary, and what is
    gathered grows with the corpus.
 3. Distributed gradient updates: in each round every chunk starts from the same weights, takes AdaGrad steps over the training
-   positions of its turn (each `TURNS`th), and returns its change; changes are averaged by the positions behind them.
+   positions of its turn (each `TURNS`th; every position has a turn), and returns its change; changes are averaged by the positions behind them.
 4. Every token is scored in sparse numpy batches.
 
 A text is held out if crc32 of its doc_id as text has the remainder 2 modulo 7 (null doc_id: the empty text). Defined results: a
@@ -37,7 +37,9 @@ CHUNK = 4 << 20
 CLASSES = 32  # and subclasses of each
 BUCKETS = CLASSES * CLASSES
 FEATURES = 1 << 13
-ROUNDS, TURNS, RATE = 2, 8, 0.15
+#: Each turn takes another share of the training positions; all turns run, so every position is learnt from once.
+TURNS, RATE = 2, 0.15
+ROUNDS = TURNS
 #: Parts in which a change of the weights is added up.
 BLOCKS = 16
 #: Tokens of one numpy batch.

@@ -258,6 +258,14 @@ def test_language_model(spark):
     assert maxent.scores(df.limit(0)).count() == 0
 
 
+def test_every_training_position_is_learnt(spark):
+    df = spark.createDataFrame([(k, f"w{k} x{k} y{k} z{k} " * 20) for k in range(40)], "doc_id long, text string").coalesce(1)
+    (row,) = maxent.chunks(df).collect()
+    weights = maxent.Weights(np.ones(maxent.BUCKETS))
+    learnt = sum(maxent._learn(row, weights, turn)[1] for turn in range(maxent.ROUNDS))
+    assert learnt == sum(n for n, held in zip(row["lengths"], row["held"]) if not held) > 0
+
+
 def test_probabilities_sum_to_one():
     """Over the seen words and one unseen word of every subclass, after any history."""
     words = np.unique(np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64))
