@@ -4,7 +4,7 @@
 2. language_evidence: documents whose language the fused evidence cannot tell go.
 3. weighted_minhash: of each group of near-duplicates the document with the smallest doc_id stays.
 4. pfair_mixing: all documents, range-sorted by their place in the mixture of sources to target weights.
-5. curve_packing: pieces of documents in sequences, neighbours along a Hilbert curve.
+5. curve_packing: pieces of documents in sequences that follow the mixture in stretches, neighbours along a Hilbert curve in each.
 
 All but the last return the columns of documents.
 """
@@ -34,7 +34,7 @@ def pfair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, stored_order=True)
 
 
 STAGES = [

@@ -83,9 +83,9 @@ def mix(docs: DataFrame, block: int = 8, period: int = 1000, weights: dict[str,
     return placed.withColumn("position", F.expr(position)).select(*[F.col("_row").getField(c).alias(c) for c in own.columns], "block", "slot", "position")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents, with their own columns, range-sorted in the order of the mixture."""
-    mixed = mix(docs.select(F.struct(*docs.columns).alias("_docs"), "doc_id", "source"))
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("_docs"), "doc_id", "source"), weights=weights)
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_docs.*")
 
 

@@ -3,7 +3,9 @@
 A document's hashed word vector (signed buckets) is projected to four numbers, each is spread evenly over 2 ** 10 steps, and the
 four are joined to a Hilbert key. Documents are range-sorted by (key, doc_id), so copies of one text by the thousand are still
 dealt to many tasks, and each range is cut along the curve into sequences of `length` ids with nothing between documents. The
-rest of a range becomes sequences whose lengths are powers of two, so no sequence needs padding.
+rest of a range becomes sequences whose lengths are powers of two, so no sequence needs padding. With `stored_order` (docs read from
+files whose order matters, such as a mixture) the order is kept in stretches of `STRETCH` rows of a file: stretches follow each
+other as the files and their rows do, and the curve orders the documents within each.
 
 Defined results: a null or empty text has only the end id; a text longer than a sequence goes on in the next ones; repeated rows
 are packed one by one; an empty table gives no piece. Columns other than doc_id and text are not read.
@@ -26,6 +28,8 @@ from lexicask.llm.tokenids import tokens
 DIMENSIONS, BITS, BUCKETS = 4, 10, 1 << 14
 #: Documents that are hashed or tokenized together.
 GROUP = 256
+#: Consecutive rows of a stored order that are packed along the curve together.
+STRETCH = 4096
 #: Standard deviation of a mean projected word vector that is spread over the steps.
 SPREAD = 0.25
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,21 +83,24 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def ordered(docs: DataFrame, parts: int | None = None, work: str | None = None) -> DataFrame:
-    """doc_id and text, range-partitioned and sorted along the curve. The keys are stored with the texts first, so that finding the ranges does not make them twice."""
+def ordered(docs: DataFrame, parts: int | None = None, work: str | None = None, stored_order: bool = False) -> DataFrame:
+    """doc_id and text, range-partitioned and sorted along the curve (of each stretch). The keys are stored with the texts first, so that finding the ranges does not make them twice."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, GROUP):
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(curve_keys(some.column(1)))], names=["doc_id", "text", "curve"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(curve_keys(some.column("text")))], names=[*some.schema.names, "curve"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(keyed, "doc_id long, text string, curve long")
-    own = store(own, f"{work or shared_dir(docs.sparkSession)}/curve")
-    dealt = own.repartitionByRange(parts, "curve", "doc_id") if parts else own.repartitionByRange("curve", "doc_id")
-    return dealt.sortWithinPartitions("curve", "doc_id")
+    own, kind, by = [F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")], "doc_id long, text string", ["curve", "doc_id"]
+    if stored_order:
+        own.append(F.format_string("%s:%012d", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / STRETCH)).alias("stretch"))
+        kind, by = f"{kind}, stretch string", ["stretch", *by]
+    keys = store(docs.select(*own).mapInArrow(keyed, f"{kind}, curve long"), f"{work or shared_dir(docs.sparkSession)}/curve")
+    dealt = keys.repartitionByRange(parts, *by) if parts else keys.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by)
 
 
-def pack(docs: DataFrame, length: int = 4096, end: int = 2, tokenizer: str | None = None, parts: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = 4096, end: int = 2, tokenizer: str | None = None, parts: int | None = None, with_ids: bool = False, stored_order: bool = False) -> DataFrame:
     """One row for each piece: its document, place there, sequence, place there, and with_ids its token ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +156,7 @@ def pack(docs: DataFrame, length: int = 4096, end: int = 2, tokenizer: str | Non
         if rows:
             yield flush()
 
-    return ordered(docs, parts).mapInArrow(cut, PIECE + ", ids array<int>" * with_ids)
+    return ordered(docs, parts, stored_order=stored_order).mapInArrow(cut, PIECE + ", ids array<int>" * with_ids)
 
 
 def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lexicask.llm import neardup, quality
+from lexicask.llm import mixing, neardup, packing, quality
 
 
 def test_stages(spark, sf, tmp_path):
@@ -28,6 +28,21 @@ def test_stages(spark, sf, tmp_path):
     assert len(pieces) == seen[4] and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
+def test_mixture_survives_packing(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 16, raising=False)
+    packed, mix, weights = corpus_pipeline.STAGES[4], mixing.mix, {}
+    monkeypatch.setattr(mixing, "mix", lambda docs, **given: mix(docs, weights=dict(weights)))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("pfair_mixing", corpus_pipeline.pfair_mixing), packed])
+    sources = sorted({r.source or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").collect()})
+
+    def run(heavy):
+        weights.update({s: 100.0 if s == heavy else 1.0 for s in sources})
+        return sorted((r.sequence_id, r.offset, r.doc_id) for r in corpus_pipeline.run(spark, sf).collect())
+
+    first = run(sources[0])
+    assert first == run(sources[0]) and first != run(sources[-1])
+
+
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
