@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from lexicask.operators import build, lookup, search
 from lexicask.plans.index import Index
 from lexicask.plans.ingest import text_bytes
 from lexicask.plans.numbering import dense_ids
+from lexicask.plans.workdir import shared_folder
 from lexicask.schema import Features
 
 TARGETS = [("the", 0), ("the", 10), ("the", 500), ("the", 100_000_000), ("and", 77), ("ghost", 3)]
@@ -36,8 +33,7 @@ def _postings(spark: SparkSession, sf_dir: str, features: Features = Features.PO
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder for a stored index: in the cluster's shared folder, where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lexicask-indexes")
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return shared_folder(spark, "index")
 
 
 def occurrences(spark, sf_dir):
