@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lexicask.plans.workdir import discard, shared_folder  # noqa: F401
+
 #: Bytes that separate words everywhere in this subpackage: space and \t \n \v \f \r.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -24,13 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, which is set to a local folder only where a session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lexicask-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lexicask-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession, work: str | None = None) -> str:
+    """A new folder that all executors see: below `work`, else where the session keeps its checkpoints."""
+    return shared_folder(spark, "lexicask", work)
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
@@ -39,12 +34,6 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows of a string column, each row followed by one space, and each row's first byte (n + 1 offsets). Null: empty."""
     if isinstance(column, pa.ChunkedArray):
