@@ -1,5 +1,7 @@
 """Mixing and quality rules: against SQL, and on small hard tables."""
 
+from fractions import Fraction
+
 import duckdb
 import pytest
 
@@ -25,37 +27,69 @@ def test_against_sql(spark, sf, name):
     compared(spark, sf, name)
 
 
-def test_mixing_keeps_to_its_weights(spark):
-    rows = [(k, "a" if k % 3 else f"s{k % 7}") for k in range(4000)]
-    df = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=2, period=100)
-    got = df.orderBy("position").collect()
-    assert [r.position for r in got] == list(range(4000)) and sorted(r.doc_id for r in got) == list(range(4000))
-    sizes = {s: sum(r.source == s for r in got) for s in {r.source for r in got}}
-    per_slot = {}
+def deviations(got, block, share):
+    """Greatest distance of any prefix of slots, while all sources have documents, from the exact shares; and that prefix's length."""
+    per_slot, left = {}, {}
     for r in got:
         per_slot.setdefault(r.slot, set()).add(r.source)
+        left.setdefault(r.source, set()).add(r.slot)
     assert all(len(x) == 1 for x in per_slot.values())
-    # slots of a whole period are the weights; no prefix deviates by a block while all sources have documents
-    weight = {s: sum(per_slot[t] == {s} for t in range(100)) for s in sizes}
-    assert sum(weight.values()) == 100 and min(weight.values()) >= 1
-    end = min(-(-n // 2) * 100 // weight[s] for s, n in sizes.items())
-    served = dict.fromkeys(sizes, 0)
+    end = min(max(slots) for slots in left.values()) + 1
+    served, worst = dict.fromkeys(left, 0), 0
     for t in range(end):
         (s,) = per_slot[t]
         served[s] += 1
-        assert all(abs(served[x] - weight[x] * (t + 1) / 100) < 1 for x in sizes)
+        worst = max(worst, max(abs(served[x] - share[x] * (t + 1)) for x in left))
+    return worst, end
+
+
+def test_mixing_keeps_to_its_weights(spark):
+    """Against the requested weights themselves, over many slots."""
+    cases = [
+        ({"a": 0.5, **{f"s{k}": 0.5 / 9 for k in range(9)}}, 3000),
+        ({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, 3000),
+        ({"a": 0.9, **{f"s{k}": 0.001 for k in range(100)}}, 4000),
+        ({"a": 0.9995, "b": 0.0005}, 5000),
+        ({"a": 7.0, "b": 2.5, "c": 0.125}, 2000),
+    ]
+    for weights, n in cases:
+        total = sum(weights.values())
+        share = {s: Fraction(w).limit_denominator(10_000) / sum(Fraction(x).limit_denominator(10_000) for x in weights.values()) for s, w in weights.items()}
+        names = list(weights)
+        rows = [(k, s) for k, s in enumerate(s for s in names for _ in range(1 + int(n * weights[s] / total)))]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, weights=weights).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(len(rows))) and sorted(r.doc_id for r in got) == list(range(len(rows)))
+        worst, end = deviations(got, 1, share)
+        assert worst < 1 and end > 900, weights
+
+
+def test_mixing_by_default_weights(spark):
+    rows = [(k, "a" if k % 3 else f"s{k % 7}") for k in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=2).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(4000)) and sorted(r.doc_id for r in got) == list(range(4000))
+    sizes = {s: sum(r.source == s for r in got) for s in {r.source for r in got}}
+    roots = {s: round(n**0.5 * 1000) for s, n in sizes.items()}
+    whole = {s: (2000 * r + sum(roots.values())) // (2 * sum(roots.values())) for s, r in roots.items()}
+    worst, _ = deviations(got, 2, {s: Fraction(w, sum(whole.values())) for s, w in whole.items()})
+    assert worst < 1
+
+
+def test_mixing_many_sources(spark):
+    rows = [(k, f"s{k % 1100}") for k in range(2200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(2200)) and len({r.source for r in got[:1100]}) == 1100
 
 
 def test_mixing_given_weights_and_hard_rows(spark):
     rows = [(1, "a"), (1, "a"), (None, "a"), (2, None), (3, ""), (4, "b")]
     df = spark.createDataFrame([(d, s, "x", 9) for d, s in rows], "doc_id long, source string, slot string, _k int")
-    got = mixing.mix(df, block=1, period=10, weights={"a": 3.0, "b": 1.0}).collect()
+    got = mixing.mix(df, block=1, weights={"a": 3.0, "b": 1.0}).collect()
     assert sorted(r.position for r in got) == list(range(6)) and got[0].asDict().keys() >= {"doc_id", "source", "_k", "block", "slot", "position"}
     assert mixing.mix(df.limit(0)).count() == 0
     staged = mixing.stage(df)
     assert staged.columns == df.columns and staged.count() == 6
-    with pytest.raises(Exception, match="more sources"):
-        mixing.mix(spark.createDataFrame([(k, str(k)) for k in range(5)], "doc_id long, source string"), period=4).collect()
+    with pytest.raises(ValueError, match="millionth"):
+        mixing.mix(df, weights={"a": 0.0})
 
 
 def brute(text):
