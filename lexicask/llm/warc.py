@@ -1,13 +1,17 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
-`responses` makes response records of fetched pages. `derive` gives two records for each response: a metadata record
-(application/warc-fields: title, language, links, length and the source's headers) and a conversion record (text/plain). Both
-carry their own identifier, the response's in WARC-Refers-To, its target, date and payload digest, and a digest of their own
-block; `record_bytes` is the whole record as it stands in a WARC file and `parse` reads such bytes back.
-
-Identifiers are derived from the page and its content, so a repeated task makes the same ones. Defined results: a null url or html
-is empty; a page that has no text gets a conversion record with an empty block; repeated rows are separate pages with the same
-identifiers; an empty table gives no record. Only page_id, url and html are read.
+`responses` writes fetched pages as response records, whole and in the file format. `derive` reads such records back by `parse`
+and gives the response itself and two records derived from it: metadata (application/warc-fields: title, language, links and the
+source's own WARC and HTTP headers) and conversion (text/plain). Both carry their own identifier, the response's in
+WARC-Refers-To, its target, date and payload digest as they stand in the response, and a digest of their own block;
+`record_bytes` is a whole record as it stands in a WARC file.
+
+Identifiers of derived records come from the response's identifier and payload, so a repeated task makes the same ones. Defined
+results: a null url or html is empty; a page that has no text gets a conversion record with an empty block; a response without a
+payload digest gets one, and one whose block or payload digest does not hold is derived with `digest-check: failed` in its
+metadata; records of other types give nothing; bytes that are not a record raise an error; repeated rows are separate pages with
+the same identifiers; an empty table gives no record. A page is read once from left to right, whatever it holds: a `<` that no
+`>` ends is text, and what opens a comment or a script without an end hides the rest. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -29,15 +33,15 @@ from lexicask.llm.common import slices, table
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|li|tr|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|dl|dt|dd)\b[^>]*|br\b[^>]*|hr\b[^>]*)>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+#: A comment's beginning, or a whole tag: tried where a `>` is known to follow, so each part is read once.
+_TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|[/!?][^>]*>)")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Fixed values of HTML: elements whose content is not text, and elements that end a line.
+RAW = {x: re.compile(f"</{x}[^a-zA-Z0-9]", re.I) for x in ("script", "style", "template", "noscript", "title", "textarea")}
+HIDDEN = {"script", "style", "template", "noscript"}
+BLOCKS = set("p div h1 h2 h3 h4 h5 h6 ul ol li tr table section article header footer nav aside main blockquote pre form dl dt dd br hr".split())
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, block_digest string, payload_digest string, content_length long, headers string, block string"
 
@@ -55,13 +59,67 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n\t ]+", " ", value).strip()
 
 
-def plain_text(page: str) -> str:
-    """Visible text: no head, scripts, styles or comments; blocks end lines; entities are resolved; white space is collapsed."""
-    text = _HEAD.sub("", _HIDDEN.sub("", page), count=1)
-    text = _TAG.sub("", _BREAK.sub("\n", text.replace("\r", " ").replace("\n", " ")))
+def _attributes(inside: str) -> dict[str, str]:
+    """The first value of each attribute of a tag, entities resolved."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(inside):
+        found.setdefault(name.lower(), entities.unescape(a or b or c))
+    return found
+
+
+def scan(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """Visible text, title, language and link targets of a page, in one pass.
+
+    Visible text has no head, scripts, styles or comments; blocks end lines; entities are resolved; white space is collapsed.
+    """
+    out: list[str] = []
+    title = lang = None
+    links: list[str] = []
+    at, stop, in_head, headed = 0, page.rfind(">") + 1, False, False
+    flat = lambda text: text.replace("\r", " ").replace("\n", " ")
+    while (m := _TOKEN.search(page, at, stop)) is not None:
+        if not in_head:
+            out.append(flat(page[at : m.start()]))
+        at = m.end()
+        if m[1]:
+            at = page.find("-->", at) + 3
+            if at < 3:
+                at = stop = len(page)
+            continue
+        name, closing = (m[3] or "").lower(), m[2] == "/"
+        if name == "head":
+            if closing:
+                in_head = False
+            elif not headed:
+                in_head = headed = True
+        elif name == "body":
+            in_head = False
+        elif name == "html" and not closing and lang is None:
+            lang = _attributes(m[4]).get("lang")
+        elif name == "a" and not closing and "href" in (found := _attributes(m[4])):
+            links.append(found["href"])
+        if name in RAW and not closing and not m[4].endswith("/"):
+            end = RAW[name].search(page, at)
+            inside = page[at : end.start() if end else len(page)]
+            if name == "title" and title is None:
+                title = entities.unescape(inside)
+            if name not in HIDDEN and not in_head:
+                out.append(flat(inside))
+            at = end.start() if end else len(page)
+            if not end:
+                stop = at
+        elif not in_head and name in BLOCKS:
+            out.append("\n")
+    if not in_head:
+        out.append(flat(page[at:]))
+    text = "".join(out)
     if "&" in text:
         text = entities.unescape(text)
-    return _LINES.sub("\n", _BLANK.sub(" ", text)).strip()
+    return _LINES.sub("\n", _BLANK.sub(" ", text)).strip(), title, lang, links
+
+
+def plain_text(page: str) -> str:
+    return scan(page)[0]
 
 
 def http_block(page: str, content_type: str = "text/html; charset=utf-8") -> tuple[bytes, bytes]:
@@ -70,8 +128,8 @@ def http_block(page: str, content_type: str = "text/html; charset=utf-8") -> tup
     return f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(payload)}\r\n\r\n".encode(), payload
 
 
-def record_bytes(headers: str, block: str) -> bytes:
-    return f"{headers}\r\n{block}\r\n\r\n".encode()
+def record_bytes(headers: str, block: str | bytes) -> bytes:
+    return headers.encode() + b"\r\n" + (block.encode() if isinstance(block, str) else block) + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -99,42 +157,70 @@ def _headers(kind: str, rid: str, refers: str, uri: str, date: str, content_type
     return "".join(x + "\r\n" for x in lines)
 
 
-def derivatives(uri: str, page: str, date: str = DATE) -> tuple[tuple, list[tuple]]:
-    """The response's (id, payload digest, headers) and its metadata and conversion records as (type, id, content type, digest, length, headers, block)."""
-    uri = _line(uri)
+def response(uri: str, page: str, date: str = DATE) -> bytes:
+    """The response record of a fetched page."""
     head, payload = http_block(page)
-    payload_digest = digest(payload)
-    source = record_id("response", uri, payload_digest)
-    response = _headers("response", source, "", uri, date, "application/http; msgtype=response", payload_digest, head + payload)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [f"source-{k}: {v}" for k, v in (x.split(": ", 1) for x in response.split("\r\n")[1:-1])]
-    fields += [f"source-http-{k}: {v}" for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n")[1:-2])]
-    fields += [f"title: {_line(entities.unescape(x[1]))}" for x in (title,) if x] + [f"language: {x[1].lower()}" for x in (lang,) if x]
-    fields += [f"outlink: {_line(entities.unescape(a or b or c))}" for a, b, c in _LINK.findall(page)]
+    uri, payload_digest = _line(uri), digest(payload)
+    rid = record_id("response", uri, payload_digest)
+    return record_bytes(_headers("response", rid, "", uri, date, "application/http; msgtype=response", payload_digest, head + payload), head + payload)
+
+
+def derivatives(headers: dict[str, str], block: bytes) -> list[tuple]:
+    """Metadata and conversion records of a parsed response: (type, id, content type, digest, length, headers, block)."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    rid, uri, date, payload_digest = headers["WARC-Record-ID"], headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", DATE), digest(payload)
+    claimed = headers.get("WARC-Payload-Digest", payload_digest)
+    sound = claimed == payload_digest and headers.get("WARC-Block-Digest") in (None, digest(block))
+    text, title, lang, links = scan(payload.decode("utf-8", "replace"))
+    fields = [f"source-{k}: {v}" for k, v in headers.items()]
+    fields += [f"source-http-{_line(x)}" for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x]
+    fields += ["digest-check: failed"] * (not sound)
+    fields += [f"title: {_line(x)}" for x in (title,) if x is not None] + [f"language: {_line(x).lower()}" for x in (lang,) if x]
+    fields += [f"outlink: {_line(x)}" for x in links]
     made = []
-    for kind, content_type, block in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
-        rid, data = record_id(kind, uri, payload_digest), block.encode()
-        made.append((kind, rid, content_type, digest(data), len(data), _headers(kind, rid, source, uri, date, content_type, payload_digest, data), block))
-    return (source, payload_digest, response), made
+    for kind, content_type, content in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in fields)), ("conversion", "text/plain; charset=utf-8", text)):
+        new, data = record_id(kind, rid, payload_digest), content.encode("utf-8", "replace")
+        made.append((kind, new, content_type, digest(data), len(data), _headers(kind, new, rid, uri, date, content_type, claimed, data), data.decode()))
+    return made
 
 
-def derive(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Rows of RECORD, two for each page."""
+def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """page_id and record, the bytes of each page's response record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")]
         for batch in batches:
             for some in slices(batch, 128, column="html"):
-                rows = []
-                for page_id, uri, page in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                    (source, payload_digest, _), made = derivatives(uri, page, date)
-                    rows += [(page_id, kind, rid, source, _line(uri), content_type, own, payload_digest, n, headers, block) for kind, rid, content_type, own, n, headers, block in made]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                made = [response(uri, page, date) for uri, page in zip(some.column("url").to_pylist(), some.column("html").to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), pa.array(made, pa.binary())], names=["page_id", "record"])
 
     own = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return own.mapInArrow(run, RECORD)
+    return own.mapInArrow(run, "page_id long, record binary")
+
+
+def derive(records: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows of RECORD of page_id and record (bytes of one record or more): of each response, with keep, itself, and the two records derived from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in RECORD.split(", ")]
+        kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")]
+        for batch in batches:
+            for some in slices(batch, 128, column="record"):
+                rows = []
+                for page_id, data in zip(some.column("page_id").to_pylist(), some.column("record").to_pylist()):
+                    for headers, block in parse(data or b""):
+                        if headers.get("WARC-Type") != "response":
+                            continue
+                        rid, uri, claimed = headers["WARC-Record-ID"], headers.get("WARC-Target-URI", ""), headers.get("WARC-Payload-Digest", "")
+                        if keep:
+                            lines = "".join(f"{x}\r\n" for x in ["WARC/1.1", *(f"{k}: {v}" for k, v in headers.items())])
+                            rows.append((page_id, "response", rid, None, uri, headers.get("Content-Type", ""), digest(block), claimed, len(block), lines, block.decode("utf-8", "replace")))
+                        for kind, new, content_type, own, n, lines, content in derivatives(headers, block):
+                            rows.append((page_id, kind, new, rid, uri, content_type, own, claimed or digest(block.partition(b"\r\n\r\n")[2]), n, lines, content))
+                columns = list(zip(*rows)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return records.select(F.col("page_id").cast("long"), F.col("record").cast("binary")).mapInArrow(run, RECORD)
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "pages"))
+    return derive(responses(table(spark, sf_dir, "pages")))

@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -52,28 +55,102 @@ def test_plain_text():
     assert warc.plain_text(PAGE) == "One\ntwo <x>\nlink z"
     assert warc.plain_text("") == "" and warc.plain_text("a < b &bogus; <3") == "a < b &bogus; <3"
     assert warc.plain_text("<script>never closed") == "" and warc.plain_text("<p>a" * 3) == "a\na\na"
+    assert warc.plain_text("a<!-- x > y") == "a" and warc.plain_text("a<!-- x > --> b <i") == "a b <i"
+    assert warc.scan("<title>x <b> y</title>z<TITLE>no</TITLE>")[:2] == ("x <b> yzno", "x <b> y")
+
+
+class Plain(HTMLParser):
+    """The same page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.title, self.lang, self.links, self.skip, self.head = [], None, None, [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(reversed(attrs))
+        self.skip += tag in warc.HIDDEN
+        self.head = tag == "head" or self.head and tag != "body"
+        if tag == "html" and self.lang is None:
+            self.lang = given.get("lang")
+        if tag == "a" and "href" in given:
+            self.links.append(given["href"] or "")
+        if tag == "title" and self.title is None:
+            self.title = ""
+        if tag in warc.BLOCKS and not self.head:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in warc.HIDDEN
+        self.head = self.head and tag != "head"
+        if tag in warc.BLOCKS and not self.head:
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if self.lasttag == "title" and self.title == "":
+            self.title = data
+        if not self.skip and not self.head:
+            self.text.append(re.sub(r"[\r\n]", " ", data))
+
+
+def test_pages_against_another_parser(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        other = Plain()
+        other.feed(r.html)
+        other.close()
+        text, title, lang, links = warc.scan(r.html)
+        flat = lambda x: re.sub(r"\s+", " ", x or "").strip()
+        assert flat(text) == flat("".join(other.text)) and flat(title) == flat(other.title) and (lang or None) == (other.lang or None) and links == other.links, r.page_id
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<script>", "<!--", "<html lang=", "<a href='", '<a href="', "<", "</", "< >", "<a href>", "<p ", "&amp", "<head>", "<a =\"'>"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_hostile_pages_take_linear_time(piece, end):
+    page = piece * (10_000_000 // len(piece)) + end
+    began = time.time()
+    warc.scan(page)
+    assert time.time() - began < 30
 
 
 def test_records(spark):
     rows = [(1, "https://x.example/a\r\nEvil: 1", PAGE, "q"), (1, "https://x.example/a\r\nEvil: 1", PAGE, "q"), (2, None, None, "q"), (None, "u", "é" * 50000, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, block string").repartition(2)
-    got = warc.derive(df).collect()
-    assert len(got) == 8
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record string").repartition(2)
+    sources = warc.responses(df, date="2024-05-06T07:08:09Z")
+    got = warc.derive(sources).collect()
+    assert len(got) == 12 and warc.derive(sources, keep=False).count() == 8
+    ids = {r.record_id for r in got if r.record_type == "response"}
     for r in got:
         (headers, block) = warc.parse(warc.record_bytes(r.headers, r.block))[0]
         assert block.decode() == r.block and len(block) == r.content_length == int(headers["Content-Length"])
-        assert headers["WARC-Type"] == r.record_type and headers["WARC-Record-ID"] == r.record_id
-        assert headers["WARC-Refers-To"] == r.refers_to and headers["WARC-Block-Digest"] == r.block_digest == warc.digest(block)
-        assert "Evil" not in headers
+        assert headers["WARC-Type"] == r.record_type and headers["WARC-Record-ID"] == r.record_id and headers["WARC-Date"] == "2024-05-06T07:08:09Z"
+        assert headers.get("WARC-Refers-To") == r.refers_to and headers["WARC-Block-Digest"] == r.block_digest == warc.digest(block)
+        assert "Evil" not in headers and (r.refers_to in ids if r.refers_to else r.record_type == "response")
     first = {r.record_type: r for r in got if r.page_id == 1}
     assert first["metadata"].refers_to == first["conversion"].refers_to and first["metadata"].record_id != first["conversion"].record_id
     _, payload = warc.http_block(PAGE)
     assert first["conversion"].payload_digest == warc.digest(payload)
     fields = first["metadata"].block.split("\r\n")
-    assert {"title: A & B", "language: de-at", "outlink: /x?a=1&b=2", "outlink: y", f"source-WARC-Record-ID: {first['metadata'].refers_to}", f"source-WARC-Payload-Digest: {warc.digest(payload)}"} <= set(fields)
+    assert {"title: A & B", "language: de-at", "outlink: /x?a=1&b=2", "outlink: y", f"source-WARC-Record-ID: {first['metadata'].refers_to}", f"source-WARC-Payload-Digest: {warc.digest(payload)}", "source-WARC-Date: 2024-05-06T07:08:09Z", f"source-http-Content-Length: {len(payload)}"} <= set(fields)
+    assert not any(x.startswith("digest-check") for x in fields)
     assert {r.block for r in got if r.page_id == 2 and r.record_type == "conversion"} == {""}
-    assert warc.derive(df.limit(0)).count() == 0
+    assert warc.derive(warc.responses(df.limit(0))).count() == 0
     both = b"".join(warc.record_bytes(r.headers, r.block) for r in got)
-    assert len(warc.parse(both)) == 8
+    assert len(warc.parse(both)) == 12
     with pytest.raises(ValueError):
         warc.parse(both[:-6])
+
+
+def test_foreign_records_keep_their_headers(spark):
+    """A response that another crawler wrote, one whose payload was changed, and a record of another type."""
+    block = b"HTTP/1.1 404 Not Found\r\nServer: old one\r\nContent-Type: text/html\r\n\r\n<p>gone \xff"
+    lines = ["WARC/1.1", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2001-02-03T04:05:06Z", "WARC-Target-URI: http://y.example/", "WARC-IP-Address: 192.0.2.7", f"Content-Length: {len(block)}"]
+    head = "".join(x + "\r\n" for x in lines)
+    whole = warc.record_bytes(head, block)
+    bad = warc.record_bytes(head.replace("uuid:1", "uuid:2") + "WARC-Payload-Digest: sha1:AAAA\r\n", block)
+    other = whole.replace(b"WARC-Type: response", b"WARC-Type: request")
+    df = spark.createDataFrame([(1, bytearray(whole + bad)), (2, bytearray(other)), (3, None)], "page_id long, record binary")
+    got = warc.derive(df).collect()
+    meta = {r.refers_to: r.block.split("\r\n") for r in got if r.record_type == "metadata"}
+    assert len(got) == 6 and set(meta) == {"<urn:uuid:1>", "<urn:uuid:2>"}
+    assert {"source-WARC-IP-Address: 192.0.2.7", "source-http-Server: old one"} <= set(meta["<urn:uuid:1>"])
+    assert "digest-check: failed" in meta["<urn:uuid:2>"] and "digest-check: failed" not in meta["<urn:uuid:1>"]
+    assert {r.block for r in got if r.record_type == "conversion"} == {"gone \ufffd"}
