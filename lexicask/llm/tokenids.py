@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -35,12 +36,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: The rules of word_bpe_49k.json, which lower-cases texts, drops white space and never joins text across it.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def has_rules(tokenizer) -> bool:
+    """Whether a tokenizer has RULES, and nothing but strings of the form <|...|> beside its vocabulary."""
+    own = json.loads(tokenizer.to_str())
+    added = all(t["content"].startswith("<|") and t["content"].endswith("|>") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in own["added_tokens"])
+    return added and all(own.get(k) == v for k, v in RULES.items()) and own["model"]["type"] == "BPE" and not own["model"].get("dropout")
+
+
 class Tokens:
-    """Ids of texts under word_bpe_49k.json, which lower-cases texts, drops white space and never joins text across it.
+    """Ids of texts by a tokenizer file, as the tokenizer itself gives them with add_special_tokens=False.
 
-    A text is lower-cased (A-Z), its marks at ends of words are set apart, it is cut at ASCII white space, and each chunk's ids
-    are remembered. An unknown chunk of plain letters goes to the tokenizer's BPE model, any other through the whole tokenizer.
-    The ids are those of the whole text with add_special_tokens=False. A text with "<|", where case decides whether a special
+    Under a file without RULES every text goes to the tokenizer whole. Under one with them a text is lower-cased (A-Z), its marks at ends of words are set apart, it is cut at ASCII white space, and each chunk's ids
+    are remembered. An unknown chunk of plain letters goes to the tokenizer's BPE model, any other through the whole tokenizer. A text with "<|", where case decides whether a special
     token stands, is cut as it is.
     """
 
@@ -50,6 +73,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.model = self.tokenizer.model
+        self.by_chunks = has_rules(self.tokenizer)
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
@@ -73,6 +97,10 @@ class Tokens:
     def of_texts(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed ids of each UTF-8 text, with the id `end` after it."""
         tail, out, k = end.to_bytes(4, "little"), [], 0
+        if not self.by_chunks:
+            for text in texts:  # one at a time: a batch's ids need many times the memory of its texts
+                out.append(array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() + tail)
+            return out
         while k < len(texts):
             group, size = [], 0
             while k < len(texts) and (not group or size < GROUP):

@@ -32,6 +32,22 @@ def test_ids_are_the_tokenizers_own(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == expected(text, 7), text
 
 
+def test_ids_of_another_file(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    assert not tokenids.has_rules(other) and tokenids.has_rules(tokenizer())
+    want = [other.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    got = tokenids.Tokens(path).of_column(pa.array(TEXTS), 7)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x + [7] for x in want]
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    tokenfiles.write(df, f"file://{tmp_path}/other", end=9, tokenizer=path)
+    assert {r.doc_id: r.ids for r in tokenfiles.read_documents(spark, f"file://{tmp_path}/other").collect()} == {k: x + [9] for k, x in enumerate(want)}
+    pieces = packing.pack(df, tokenizer=path, with_ids=True, parts=2).collect()
+    assert all(r.ids == (want[r.doc_id] + [2])[r.start : r.start + r.length] for r in pieces) and sum(r.length for r in pieces) == sum(len(x) + 1 for x in want)
+
+
 def test_ids_of_random_texts():
     rng = random.Random(3)
     letters = "..,,$!\"<|>-_`aAbBéÉßñ×÷»'’sStTlL.,!?;: \t\n0½#中अ́ "
