@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by iterative quantisation.
 
 1. Equal vectors of a label are one class (its smallest id, its size); vectors that cannot be compared stay alone.
-2. A rotation is learnt by iterative quantisation on a bounded sample of the classes: it turns the centred principal axes so that
-   signs lose least, which gives balanced binary codes.
+2. For each length of vectors a rotation is learnt by iterative quantisation on what a bounded sample of the classes has of that
+   length: it turns the centred principal axes so that signs lose least, which gives balanced binary codes. A length of which the
+   sample has fewer vectors than bits, or that lies in a narrow cone (see CONE), gets a random rotation, whose codes are less
+   balanced but meet as well.
 3. Multi-index Hamming tables: the code's `PARTS` substrings are taken `PICK` at a time, a table each. Two codes meet in a table
    if they agree in its substrings, so every pair within a Hamming distance of PARTS - PICK meets, and most pairs beyond.
 4. Candidates of a table's bucket are compared by the original vectors in double precision. A pair counts in the first table
@@ -11,8 +13,8 @@
    class, not the pairs.
 5. Links of tasks are joined to components.
 
-Labels that differ or are null never link. Null, empty and zero vectors, those with null or non-finite components, and those of
-another length than the most common one of the sample link with nothing. Repeated vec_ids are separate vectors of one id: they are
+Labels that differ or are null never link, nor do vectors of different lengths. Null, empty and zero vectors and those with null or
+non-finite components link with nothing. Repeated vec_ids are separate vectors of one id: they are
 returned once each, and their links are counted alike. An empty table gives no row. Only vec_id, embedding and label are read.
 """
 
@@ -23,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ from lexicask.llm.components import components
 BITS, PARTS, PICK = 64, 8, 2
 #: Vectors that the rotation is fitted on, at most.
 SAMPLE = 20_000
+#: Variance of unit vectors around their mean below which codes are taken about the origin by a random rotation: in so narrow a cone
+#: vectors that are close to each other can lie on opposite sides of the mean.
+CONE = 0.36
 #: Classes of a bucket that one group compares, at most.
 BLOCK = 1024
 TABLES = list(combinations(range(PARTS), PICK))
@@ -43,8 +49,8 @@ def fit(sample: np.ndarray, bits: int = BITS, rounds: int = 40) -> tuple[np.ndar
     mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
     centred = sample - mean
     rng = np.random.default_rng(5)
-    if len(sample) < 2:
-        return mean, np.linalg.qr(rng.standard_normal((max(d, bits), max(d, bits))))[0][:d, :bits]
+    if len(sample) < bits or 1 - mean @ mean < CONE:
+        return np.zeros(d), np.linalg.qr(rng.standard_normal((max(d, bits), max(d, bits))))[0][:d, :bits]
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, : min(bits, d)]
     if axes.shape[1] < bits:  # fewer dimensions than bits: further directions are random ones of the same space
@@ -62,9 +68,18 @@ def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.n
     return np.packbits((vectors - mean) @ projection >= 0, axis=1)
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    values = column.flatten() if isinstance(column, pa.ListArray) else column.combine_chunks().flatten()
-    return np.asarray(values, dtype=np.float64).reshape(-1, d)
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int | None = None) -> np.ndarray:
+    """Lists of numbers as rows; shorter lists end in zeros. d: the length of all lists, where it is known."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = np.asarray(column.flatten(), dtype=np.float64)
+    if d is None:
+        sizes = np.diff(column.offsets.to_numpy())
+        d = int(sizes.max(initial=1))
+        if (sizes != d).any():
+            out = np.zeros((len(sizes), d))
+            out[np.arange(d)[None, :] < sizes[:, None]] = values
+            return out
+    return values.reshape(-1, d)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,25 +109,33 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, bits: int = BITS, s
     work = work or shared_dir(spark)
     unique = store(classes(vectors), f"{work}/classes")
     rows = unique.select("embedding", F.xxhash64("rep").alias("_o")).orderBy("_o").limit(sample).select("embedding").toPandas()["embedding"].tolist()  # bounded by `sample`
-    lengths = np.bincount([len(x) for x in rows]) if rows else np.zeros(2, int)
-    d = int(lengths.argmax()) if rows else 1
-    known = np.array([x for x in rows if len(x) == d], dtype=np.float64).reshape(-1, d)
-    with np.errstate(over="ignore", under="ignore"):
-        known = known / np.abs(known).max(axis=1, keepdims=True)
-        known /= np.linalg.norm(known, axis=1, keepdims=True)
-    mean, projection = fit(known, bits)
+    models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in sorted({len(x) for x in rows}):
+        known = np.array([x for x in rows if len(x) == d], dtype=np.float64).reshape(-1, d)
+        with np.errstate(over="ignore", under="ignore"):
+            known = known / np.abs(known).max(axis=1, keepdims=True)
+            known /= np.linalg.norm(known, axis=1, keepdims=True)
+        models[d] = fit(known, bits)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                some = batch.slice(a, 2048)
-                v = _matrix(some.column("embedding"), d)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                unit = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), d).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("size"), some.column("label").cast(pa.string()), unit, pa.array([x.tobytes() for x in codes(v, mean, projection)], pa.binary())], names=["rep", "size", "label", "unit", "code"])
-
-    own = unique.filter(F.size("embedding") == d).select("rep", "size", F.col("label").cast("string").alias("label"), "embedding")
+            sizes = np.asarray(pc.list_value_length(batch.column("embedding")))
+            for d in np.unique(sizes).tolist():
+                if d not in models:
+                    models[d] = fit(np.zeros((0, d)), bits)
+                mean, projection = models[d]
+                same = batch.filter(pa.array(sizes == d))
+                for a in range(0, same.num_rows, 2048):
+                    some = same.slice(a, 2048)
+                    v = _matrix(some.column("embedding"), d)
+                    v = v / np.abs(v).max(axis=1, keepdims=True)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    unit = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), d).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("size"), some.column("label"), unit, pa.array([x.tobytes() for x in codes(v, mean, projection)], pa.binary())], names=["rep", "size", "label", "unit", "code"])
+
+    # the length is a part of the label from here on
+    named = F.concat_ws("/", F.size("embedding"), F.col("label").cast("string")).alias("label")
+    own = unique.select("rep", "size", named, "embedding")
     index = own.mapInArrow(coded, "rep long, size long, label string, unit array<double>, code binary")
     index = store(index, f"{work}/index")
     pieces = F.array(*[F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("code", p + 1, 1) for p in parts]).alias("key")) for t, parts in enumerate(TABLES)])
@@ -150,7 +173,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, bits: int = BITS, s
 
         def run(t):
             rep, size = t.column("rep").to_numpy(), t.column("size").to_numpy()
-            unit = _matrix(t.column("unit"), d)
+            unit = _matrix(t.column("unit"))
             code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
             b, i, j, first = (t.column(c).to_numpy() for c in ("b", "i", "j", "t"))
             same = np.zeros(len(rep), np.int64)  # group number
