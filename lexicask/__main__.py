@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             fields = {f: f for f in args.field or FIELDS}
             index = Index.open(spark, args.db, dict.fromkeys(fields, Features.POSITIONS))
             _, said = ingest(index, linedocs.read(spark, args.bin_file, args.limit), fields, batch_size=args.batch_size)
-            print(f"{said['n_docs']} documents, {said['total_bytes']} bytes, {said['gb_per_hour']:.2f} GB/hour")
+            print(f"{said['n_docs']} documents, {said['total_bytes']} bytes, {said['docs_per_second']:.0f} documents/s, {said['gb_per_hour']:.2f} GB/hour")
             return 0
         index = Index.open(spark, args.db)
     except IndexRefused as e:
@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     if args.command == "stat":
         for row in index.stat().collect():
-            print(f"{row['field']}\t{row['section']}\t{row['size']}")
+            print(f"{row['field']}\t{row['section']}\t{row['size']}\t{row['rows']} rows")
     else:
         compacted = index.compact()
         compacted.vacuum()

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Items of a list that are summed together.
+STRETCH = 1000
+
+
 def deltas(values: Column) -> Column:
     """First value, then differences of neighbours. Null: null; empty: empty."""
     before = F.slice(F.concat(F.array(F.lit(0).cast("long")), values), F.lit(1), F.size(values))
@@ -13,10 +17,14 @@ def deltas(values: Column) -> Column:
 
 
 def undeltas(values: Column) -> Column:
-    """The list whose deltas are given."""
-    start = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<long>").alias("a"))
+    """The list whose deltas are given. The running sum is kept in stretches of `STRETCH`, so that no long list is copied for each of its items."""
+    start = lambda t: F.struct(t.alias("t"), F.array().cast("array<long>").alias("a"))
     step = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"] + x)).alias("a"))
-    return F.aggregate(values.cast("array<long>"), start, step, lambda s: s["a"])
+    whole = values.cast("array<long>")
+    stretches = F.sequence(F.lit(1), F.size(whole), F.lit(STRETCH))
+    outer = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<array<long>>").alias("a"))
+    bound = lambda s, at: F.get(F.transform(F.array(F.aggregate(F.slice(whole, at, F.lit(STRETCH)), start(s["t"]), step)), lambda u: F.struct(u["t"].alias("t"), F.concat(s["a"], F.array(u["a"])).alias("a"))), F.lit(0))
+    return F.when(F.size(whole) > 0, F.aggregate(stretches, outer, bound, lambda s: F.flatten(s["a"]))).otherwise(whole)
 
 
 def packed_stats(doc_frequency: Column, term_frequency: Column, single_docid: Column) -> Column:

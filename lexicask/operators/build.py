@@ -19,6 +19,28 @@ def occurrences(docs: DataFrame, fields: dict[str, Column | str], start: int = 0
     return each.select("field", "doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
+def document_postings(docs: DataFrame, fields: dict[str, Column | str], features: Features = Features.POSITIONS, start: int = 0) -> DataFrame:
+    """postings() of the occurrences of docs, whose doc_ids are distinct: all occurrences of a document lie in its row, so they are grouped there and nothing is shuffled."""
+    texts = F.array(*[F.struct(F.lit(name).alias("field"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("text")) for name, c in fields.items()])
+    each = docs.select((F.col("doc_id") + F.lit(start)).cast("long").alias("doc_id"), F.explode(texts).alias("f")).select("f.field", "doc_id", tokens(F.col("f.text")).alias("_t"))
+    none = F.array().cast("array<int>")
+    if features is Features.DOC:
+        return each.select("field", F.explode(F.array_distinct("_t")).alias("token"), "doc_id", F.lit(1).cast("long").alias("tf"), none.alias("positions"))
+    # sorted by token and place; where a new token begins; each token's stretch
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
+    placed = F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["t"] != F.get(s, i - 1)["t"]), i).otherwise(-1)), lambda i: i >= 0)
+    stretch = lambda s, b, k, at: F.struct(F.get(s, b)["t"].alias("token"), b.alias("at"), (F.coalesce(F.get(at, k + 1), F.size(s)) - b).alias("n"))
+    if features is Features.TERM_FREQUENCY:
+        grouped = bound(placed, lambda s: bound(starts(s), lambda at: F.transform(at, lambda b, k: stretch(s, b, k, at))))
+        found = each.select("field", "doc_id", F.explode(grouped).alias("g"))
+        return found.select("field", "g.token", "doc_id", F.col("g.n").cast("long").alias("tf"), none.alias("positions"))
+    places = lambda s, g: F.transform(F.slice(s, g["at"] + 1, g["n"]), lambda x: x["i"])
+    grouped = bound(placed, lambda s: bound(starts(s), lambda at: F.transform(F.transform(at, lambda b, k: stretch(s, b, k, at)), lambda g: F.struct(g["token"].alias("token"), places(s, g).alias("positions")))))
+    found = each.select("field", "doc_id", F.explode(grouped).alias("g"))
+    return found.select("field", "g.token", "doc_id", F.size("g.positions").cast("long").alias("tf"), "g.positions")
+
+
 def postings(occurrences: DataFrame, features: Features = Features.POSITIONS) -> DataFrame:
     """One row for each (field, token, doc_id): tf (1 below TERM_FREQUENCY) and ordered positions (empty below POSITIONS)."""
     grouped = occurrences.groupBy("field", "token", "doc_id")
@@ -44,22 +66,18 @@ def doc_stats(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("field", "doc_id").agg(F.count("*").alias("doc_len"))
 
 
-def ranked(postings: DataFrame) -> DataFrame:
-    """postings with rank, the place of a document in its token's list from 0.
+def blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
+    """field, token, block_no, first_docid, last_docid and n_docs of each block; tokens of a single document have none.
 
-    Entries are numbered within slices of doc_ids and slices are added up, so a token that most documents hold is many groups.
+    A token's doc_ids are listed by slices of `SLICE` ids, so no group holds a whole posting list; the window that adds slices up has
+    one row for each. A slice gives its part of each block it reaches into, and parts of a block are put together.
     """
     key = ["field", "token"]
-    sliced = postings.withColumn("_slice", F.floor(F.col("doc_id") / F.lit(SLICE)))
-    sizes = sliced.groupBy(*key, "_slice").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*key).orderBy("_slice")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*key, "_slice").orderBy("doc_id")) - 1
-    return sliced.withColumn("_r", within).join(before, [*key, "_slice"]).withColumn("rank", (F.col("_before") + F.col("_r")).cast("long")).drop("_slice", "_r", "_before")
-
-
-def blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
-    """field, token, block_no, first_docid, last_docid and n_docs of each block; tokens of a single document have none."""
-    placed = ranked(postings.select("field", "token", "doc_id")).withColumn("block_no", F.floor(F.col("rank") / F.lit(size)))
-    found = placed.groupBy("field", "token", "block_no").agg(F.min("doc_id").alias("first_docid"), F.max("doc_id").alias("last_docid"), F.count("*").alias("n_docs"))
-    single = found.groupBy("field", "token").agg(F.sum("n_docs").alias("_df")).filter("_df = 1").drop("_df")
-    return found.join(single, ["field", "token"], "left_anti")
+    lists = postings.groupBy(*key, F.floor(F.col("doc_id") / F.lit(SLICE)).alias("_slice")).agg(F.sort_array(F.collect_list("doc_id")).alias("_ids"))
+    whole = Window.partitionBy(*key)
+    n = F.size("_ids").cast("long")
+    counted = lists.withColumn("_df", F.sum(n).over(whole)).withColumn("_before", F.sum(n).over(whole.orderBy("_slice")) - n).filter("_df > 1")
+    each = counted.select(*key, "_ids", "_before", F.explode(F.sequence(F.expr(f"_before div {size}"), F.expr(f"(_before + size(_ids) - 1) div {size}"))).alias("block_no"))
+    low, high = F.expr(f"CAST(greatest(block_no * {size} - _before, 0) AS INT)"), F.expr(f"CAST(least((block_no + 1) * {size} - _before, size(_ids)) AS INT)")
+    parts = each.select(*key, "block_no", F.get("_ids", low).alias("a"), F.get("_ids", high - 1).alias("b"), (high - low).alias("n"))
+    return parts.groupBy(*key, "block_no").agg(F.min("a").alias("first_docid"), F.max("b").alias("last_docid"), F.sum("n").cast("long").alias("n_docs"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexicask.functions import deltas
+from lexicask.functions.text import format_bytes
 from lexicask.operators import build, lookup, search
 from lexicask.plans.index import Index
-from lexicask.plans.ingest import text_bytes
+from lexicask.plans.ingest import ingest, text_bytes
 from lexicask.plans.numbering import dense_ids
 from lexicask.plans.workdir import shared_folder
 from lexicask.schema import Features
+from lexicask.sources import linedocs
+from lexicask.streaming.ingest import ingest_stream
 
 TARGETS = [("the", 0), ("the", 10), ("the", 500), ("the", 100_000_000), ("and", 77), ("ghost", 3)]
 
@@ -28,7 +32,7 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str, features: Features = Features.POSITIONS) -> DataFrame:
-    return build.postings(_occurrences(spark, sf_dir), features)
+    return build.document_postings(_documents(spark, sf_dir), {"body": "text"}, features)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -90,7 +94,7 @@ def size_hint(spark, sf_dir):
 
 
 def multi_field_stats(spark, sf_dir):
-    return build.token_stats(build.postings(build.occurrences(_documents(spark, sf_dir), _fields()), Features.TERM_FREQUENCY))
+    return build.token_stats(build.document_postings(_documents(spark, sf_dir), _fields(), Features.TERM_FREQUENCY))
 
 
 def ingest_metrics(spark, sf_dir):
@@ -98,8 +102,88 @@ def ingest_metrics(spark, sf_dir):
 
 
 def limit_ingest(spark, sf_dir):
-    docs = _documents(spark, sf_dir).filter("doc_id < 100")
-    return build.token_stats(build.postings(build.occurrences(docs, {"body": "text"}), Features.TERM_FREQUENCY)).drop("field")
+    """The first hundred documents, by ingest's own limit."""
+    index, _ = ingest(Index.open(spark, work_dir(spark), {"body": Features.POSITIONS}), _documents(spark, sf_dir), {"body": "text"}, limit=100)
+    return index.token_stats().drop("field")
+
+
+def batched_ingest(spark, sf_dir):
+    """Commits of 300 documents at most, then the index's facts."""
+    docs = _documents(spark, sf_dir)
+    index, said = ingest(Index.open(spark, work_dir(spark), {"body": Features.TERM_FREQUENCY}), docs, {"body": "text"}, batch_size=max(1, docs.count() // 3))
+    return spark.createDataFrame([(index.manifest.n_docs, index.manifest.next_docid, said["total_bytes"])], "n_docs long, next_docid long, total_bytes long")
+
+
+def own_tokens(spark, sf_dir):
+    """Postings of occurrences that another tokenizer gives: here white-space words."""
+    words = _documents(spark, sf_dir).select(F.lit("body").alias("field"), "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    return build.postings(words, Features.POSITIONS).drop("field")
+
+
+def line_docs(spark, sf_dir):
+    """documents written as binary line documents and read back, numbered by their places."""
+    path = work_dir(spark)
+    docs = _documents(spark, sf_dir)
+    linedocs.write(docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.col("source").alias("random_label"), F.lit(5).alias("time_of_day_secs"), (F.col("doc_id") * 1000).alias("timestamp_ms")), path)
+    return linedocs.read(spark, path).select("doc_id", "title", F.md5("body").alias("body_md5"), "random_label", "time_of_day_secs", "timestamp_ms")
+
+
+def stream_ingest(spark, sf_dir):
+    """A stream of the table's file, every micro-batch one generation."""
+    path = work_dir(spark)
+    stream = spark.readStream.schema(_documents(spark, sf_dir).schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    ingest_stream(stream, Index.open(spark, f"{path}/index", {"body": Features.TERM_FREQUENCY}), {"body": "text"}, f"{path}/checkpoint").awaitTermination()
+    return Index.open(spark, f"{path}/index").token_stats().drop("field")
+
+
+def index_stat(spark, sf_dir):
+    """Rows of each section of each field of a stored index."""
+    index = Index.open(spark, work_dir(spark), {"body": Features.TERM_FREQUENCY, "label": Features.DOC}).append(_documents(spark, sf_dir), {"body": "text", "label": "source"})
+    return index.stat().select("field", "section", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def stored_search(spark, sf_dir):
+    """Boolean, phrase and batched seeks on a stored index, one row for each answer."""
+    docs = _documents(spark, sf_dir)
+    index = Index.open(spark, work_dir(spark), {"body": Features.POSITIONS}).append(docs, {"body": "text"})
+    targets = spark.createDataFrame([("body", t, d) for t, d in TARGETS], "field string, token string, target long")
+    none = F.lit(None).cast("long")
+    return (
+        index.boolean(docs, "body", must=["the"], must_not=["of"]).select(F.lit("not").alias("kind"), "doc_id", none.alias("n"))
+        .unionAll(index.all_of("body", ["the", "of"]).select(F.lit("and"), "doc_id", none))
+        .unionAll(index.phrase("body", ["of", "the"]).select(F.lit("phrase"), "doc_id", "n_matches"))
+        .unionAll(index.seek_batch(targets).select(F.concat(F.lit("seek "), "token"), "doc_id", "target"))
+    )
+
+
+def stored_bm25(spark, sf_dir):
+    index = Index.open(spark, work_dir(spark), {"body": Features.POSITIONS}).append(_documents(spark, sf_dir), {"body": "text"})
+    return search.top(index.bm25("body", ["the", "and", "of"]).select("doc_id", F.round("score", 6).alias("score")), 20)
+
+
+def cursor(spark, sf_dir):
+    """A token's postings in ascending order of doc_id, each with the next one's doc_id and the place where its positions begin."""
+    found = lookup.lookup(_postings(spark, sf_dir), "body", "of", ordered=True)
+    return found.select("doc_id", F.size("positions").alias("n_positions"), F.get("positions", F.lit(0)).alias("first_pos"))
+
+
+def position_deltas(spark, sf_dir):
+    """Positions as deltas, and back."""
+    p = _postings(spark, sf_dir).select("token", "doc_id", deltas.deltas(F.col("positions").cast("array<long>")).alias("deltas"))
+    return p.select("token", "doc_id", "deltas", deltas.undeltas(F.col("deltas")).alias("positions"))
+
+
+def packed_stats(spark, sf_dir):
+    """Statistics in their packed form, and back."""
+    p = token_stats(spark, sf_dir).select("token", deltas.packed_stats(F.col("doc_frequency"), F.col("term_frequency"), F.col("single_docid")).alias("p"))
+    back = deltas.unpacked_stats(F.col("p"))
+    return p.select("token", F.col("p.key").alias("key"), back["doc_frequency"].alias("doc_frequency"), back["term_frequency"].alias("term_frequency"), back["single_docid"].alias("single_docid"))
+
+
+def byte_sizes(spark, sf_dir):
+    """Bytes of each document's text, as text."""
+    n = F.octet_length("text").cast("long") * F.pow(F.lit(7), F.col("doc_id") % 10).cast("long")
+    return _documents(spark, sf_dir).select("doc_id", n.alias("n")).select("doc_id", format_bytes(F.col("n")).alias("size"))
 
 
 def incremental_equals_bulk(spark, sf_dir):
@@ -158,6 +242,7 @@ QUERIES = {
     for f in (
         *(occurrences, postings_positions, postings_tf, postings_doc, token_stats, token_stats_doc, doc_stats, lookup_missing, seek, seek_batch, posting_blocks, size_hint),
         *(multi_field_stats, ingest_metrics, limit_ingest, incremental_equals_bulk, stored_lookup, conversation_stats, bm25_topk, phrase, bool_and, bool_or, bool_not),
+        *(batched_ingest, own_tokens, line_docs, stream_ingest, index_stat, stored_search, stored_bm25, cursor, position_deltas, packed_stats, byte_sizes),
     )
 } | {"lookup": lookup_token}
 
@@ -197,5 +282,22 @@ FROM q JOIN d USING (token) JOIN l USING (doc_id), n, a GROUP BY doc_id ORDER BY
     "phrase": _O + "SELECT a.doc_id, count(*) AS n_matches FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.doc_id",
     "bool_and": _O + "SELECT doc_id FROM p WHERE token = 'the' INTERSECT SELECT doc_id FROM p WHERE token = 'of'",
     "bool_or": _O + "SELECT DISTINCT doc_id FROM p WHERE token IN ('the', 'der')",
+    "batched_ingest": "SELECT count(*) AS n_docs, max(doc_id) + 1 AS next_docid, sum(strlen(text))::BIGINT AS total_bytes FROM documents",
+    "own_tokens": "WITH o AS (SELECT doc_id, unnest(range(len(t)))::INTEGER AS pos, unnest(t) AS token FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)) SELECT token, doc_id, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM o GROUP BY ALL",
+    "line_docs": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, split_part(text, chr(10), 1) AS title, md5(text) AS body_md5, source AS random_label, 5::INTEGER AS time_of_day_secs, doc_id * 1000 AS timestamp_ms FROM documents",
+    "stream_ingest": _O + _STATS.format("", "", ""),
+    "index_stat": _O + """, l AS (SELECT unnest(regexp_extract_all(source, '[\\p{L}\\p{N}]+')) AS token, doc_id FROM documents), b AS (SELECT DISTINCT token, doc_id FROM l)
+SELECT field, section, rows, true AS has_bytes FROM (
+SELECT 'body' AS field, 'postings' AS section, (SELECT count(*) FROM p) AS rows UNION ALL SELECT 'body', 'token_stats', (SELECT count(DISTINCT token) FROM p) UNION ALL SELECT 'body', 'doc_stats', (SELECT count(DISTINCT doc_id) FROM p)
+UNION ALL SELECT 'label', 'postings', (SELECT count(*) FROM b) UNION ALL SELECT 'label', 'token_stats', (SELECT count(DISTINCT token) FROM b) UNION ALL SELECT 'label', 'doc_stats', (SELECT count(DISTINCT doc_id) FROM b))""",
+    "stored_search": _O + f"""SELECT 'not' AS kind, doc_id, NULL::BIGINT AS n FROM (SELECT doc_id FROM p WHERE token = 'the' EXCEPT SELECT doc_id FROM p WHERE token = 'of')
+UNION ALL SELECT 'and', doc_id, NULL FROM (SELECT doc_id FROM p WHERE token = 'the' INTERSECT SELECT doc_id FROM p WHERE token = 'of')
+UNION ALL SELECT 'phrase', a.doc_id, count(*) FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.doc_id
+UNION ALL SELECT 'seek ' || t.token, p.doc_id, t.target FROM (VALUES {_TARGETS}) t(token, target) ASOF LEFT JOIN p ON p.token = t.token AND t.target <= p.doc_id""",
+    "cursor": _O + "SELECT doc_id, len(positions)::INTEGER AS n_positions, positions[1] AS first_pos FROM p WHERE token = 'of'",
+    "position_deltas": _O + "SELECT token, doc_id, list_transform(positions, lambda x, i: (x - coalesce(CASE WHEN i > 1 THEN positions[i - 1] END, 0))::BIGINT) AS deltas, positions::BIGINT[] AS positions FROM p",
+    "packed_stats": _O + ", s AS (" + _STATS.format("", "", "") + ") SELECT *, CASE WHEN doc_frequency = 1 THEN single_docid * 2 + 1 ELSE doc_frequency * 2 END AS key FROM s",
+    "byte_sizes": "WITH b AS (SELECT doc_id, strlen(text)::BIGINT * pow(7, doc_id % 10)::BIGINT AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0) ELSE n || ' B' END AS size FROM b",
     "bool_not": _O + "SELECT doc_id FROM p WHERE token = 'the' EXCEPT SELECT doc_id FROM p WHERE token = 'of'",
 }
+ORACLE_SQL["stored_bm25"] = ORACLE_SQL["bm25_topk"]

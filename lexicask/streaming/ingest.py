@@ -18,7 +18,7 @@ def ingest_stream(docs: DataFrame, index: Index, fields: dict[str, Column | str]
     def commit(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()  # read for the checks, the postings and the lengths
         try:
-            Index.open(spark, path).append(held, fields, batch=f"{name}-{batch_id}")
+            Index.open(spark, path).append(held, fields, batch=(name, batch_id))
         finally:
             held.unpersist()
 

@@ -66,6 +66,21 @@ def test_spark_source(spark, tmp_path):
     assert linedocs.read(spark, str(path)).count() == 0
 
 
+def test_folders_and_patterns(spark, tmp_path):
+    for k, name in enumerate(("b.bin", "a.bin", "_skip.bin", "c.txt")):
+        (tmp_path / name).write_bytes(raw([[(f"{name}", "x", "", k, k)]]))
+    assert [r.title for r in linedocs.read(spark, str(tmp_path)).orderBy("doc_id").collect()] == ["a.bin", "b.bin", "c.txt"]
+    assert [(r.doc_id, r.title) for r in linedocs.read(spark, f"file://{tmp_path}/*.bin").orderBy("doc_id").collect()] == [(0, "a.bin"), (1, "b.bin")]
+    assert linedocs.read(spark, f"{tmp_path}/?.bin", limit=1).count() == 1
+
+
+def test_writing(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"t{k}", "é" * k, None, k, None) for k in range(700)], "doc_id long, title string, body string, random_label string, time_of_day_secs int, timestamp_ms long").repartition(3)
+    linedocs.write(df, f"file://{tmp_path}/out")
+    got = linedocs.read(spark, f"file://{tmp_path}/out").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.title, r.body, r.random_label, r.time_of_day_secs, r.timestamp_ms) for r in got] == [(k, f"t{k}", "é" * k, "", k, 0) for k in range(700)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     path, db = tmp_path / "docs.bin", f"{tmp_path}/db"
     path.write_bytes(raw([ROWS]))
