@@ -28,9 +28,9 @@ def shared_dir(spark: SparkSession, work: str | None = None) -> str:
     return shared_folder(spark, "lexicask", work)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write df once and read it again: cuts lineage by files that survive a lost executor."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,14 +78,19 @@ FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows in order, the row of each word, and the number of words of each row.
+    """64-bit hashes of the words of all rows in order, the row of each word, and the number of words of each row."""
+    return words_and_heads(column, lower)[:3]
+
+
+def words_and_heads(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words_of, and the first eight bytes of each word as a little-endian integer (zeros after a shorter one).
 
     The whole batch is done at once: words (A-Z lower-cased if asked) are read in pieces of eight bytes, each piece is mixed with
     its place, and the sum of a word's pieces with its length. No byte is left out, however long the word.
     """
     data, starts = text_buffer(column)
     n = len(starts) - 1
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(0, np.uint64)
     if not len(data):
         return none
     space = SPACES[data]
@@ -102,8 +107,9 @@ def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # eight bytes from each byte
     lengths = ends - begins
     pieces = (lengths + 7) >> 3
+    heads = eight[begins] & FIRST[np.minimum(lengths, 8)]
     if (pieces == 1).all():
-        total = mixed((eight[begins] & FIRST[lengths]) + STEP)
+        total = mixed(heads + STEP)
     else:
         first = np.cumsum(pieces) - pieces
         within = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
@@ -113,4 +119,4 @@ def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     h = mixed(total + lengths.astype(np.uint64))
     row = np.searchsorted(begins, starts)  # words before each row
     count = np.diff(row)
-    return h, np.repeat(np.arange(n), count), count.astype(np.int64)
+    return h, np.repeat(np.arange(n), count), count.astype(np.int64), heads

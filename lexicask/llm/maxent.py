@@ -1,7 +1,8 @@
 """Scoring texts by a hashed maximum-entropy language model with a class-factored softmax.
 
-A word is a run of non-white characters, A-Z lower-cased, and each text ends in one end token. A word's class and subclass are
-parts of its hash. The model is
+A word is a run of non-white characters, A-Z lower-cased, and each text ends in one end token. A word's class is given by its first
+two bytes and its subclass by its first four, which history can tell (spelling goes by language and kind of word); ten bits of a
+word's hash hold both. The model is
 
     P(word | history) = P(class | history) * P(subclass | class, history) * P(word | class, subclass)
 
@@ -12,13 +13,14 @@ both, and a bias that holds the class's share of the training tokens. The third
 2. Exact training counts of all words: each chunk deals its distinct words to ranges of the hash; a range adds its words up and
    sends every chunk the totals of its own words. So no task and no table that is sent around holds the vocabulary, and what is
    gathered grows with the corpus.
-3. Distributed gradient updates: in each round every chunk starts from the same weights, takes AdaGrad steps over the training
-   positions of its turn (each `TURNS`th; every position has a turn), and returns its change; changes are averaged by the positions behind them.
+3. Distributed gradient updates: in each round every chunk starts from the same weights and the same AdaGrad sums, takes steps over
+   the training positions of its turn (each `TURNS`th; every position has a turn), and returns its change; changes are averaged by
+   the positions behind them, in two levels of tasks, and the sums that are carried on make later steps smaller.
 4. Every token is scored in sparse numpy batches.
 
 A text is held out if crc32 of its doc_id as text has the remainder 2 modulo 7 (null doc_id: the empty text). Defined results: a
-null or empty text is the end token alone; repeated rows are separate texts; an empty table gives no row; without training texts
-all words are unseen. Only doc_id and text are read.
+null or empty text is the end token alone; repeated rows are separate texts; a text longer than a chunk is a chunk by itself; an
+empty table gives no row; without training texts all words are unseen. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import mixed, shared_dir, slices, store, table, words_of
+from lexicask.llm.common import FIRST, mixed, shared_dir, slices, store, table, words_and_heads
 
 CHUNK = 4 << 20
 CLASSES = 32  # and subclasses of each
 BUCKETS = CLASSES * CLASSES
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 #: Each turn takes another share of the training positions; all turns run, so every position is learnt from once.
-TURNS, RATE = 2, 0.15
+TURNS, RATE = 2, 0.3
 ROUNDS = TURNS
+#: Positions of one gradient step.
+STEP_SIZE = 2048
 #: Parts in which a change of the weights is added up.
 BLOCKS = 16
 #: Tokens of one numpy batch.
@@ -74,7 +78,8 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
 
         for batch in batches:
             for some in slices(batch, most=most):
-                h, _, n = words_of(some.column("text"))
+                h, _, n, heads = words_and_heads(some.column("text"))
+                h = named(h, heads)
                 ids += some.column("doc_id").to_pylist()
                 lengths += (n + 1).tolist()
                 words.append(np.insert(h, np.cumsum(n), END))
@@ -132,8 +137,16 @@ def totals(read: DataFrame, ranges: int) -> DataFrame:
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, counts binary")
 
 
+def named(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Words' hashes with the class and subclass of their first bytes in the lowest bits."""
+    at = np.uint64(64 - (BUCKETS.bit_length() - 1) // 2)
+    klass = (mixed((heads & FIRST[2]) + STEP) >> at) * np.uint64(CLASSES)
+    return hashes & ~np.uint64(BUCKETS - 1) | klass | mixed((heads & FIRST[4]) * STEP + STEP) >> at
+
+
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)).astype(np.int64)
+    """Class and subclass of words, as class * CLASSES + subclass."""
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _added(rows: DataFrame, column: str, kind, length: int, tasks: int = 64) -> np.ndarray:
@@ -159,6 +172,7 @@ class Weights:
         self.bias2 = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
         self.first = np.zeros((FEATURES, CLASSES), np.float32)
         self.second = np.zeros((FEATURES, CLASSES), np.float32)
+        self.squares = np.full((2, FEATURES), 1e-1, np.float32)  # AdaGrad sums of both tables' rows, carried from round to round
 
 
 def _features(words: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -198,82 +212,91 @@ def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return unique[place], place, buckets_of(unique)[place], start
 
 
-def _learn(row, weights: Weights, turn: int) -> tuple[np.ndarray, int]:
-    """The change of both tables after one pass over the training positions of this turn, and their number."""
+def _learn(row, weights: Weights, turn: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The change of both tables and of their AdaGrad sums after one pass over the training positions of this turn, and their number."""
     words, _, bucket, start = _tokens(row)
     features = _features(words, start)
     train = np.repeat(~np.array(row["held"], bool), row["lengths"])
-    at = np.flatnonzero(train & (np.arange(len(words)) % TURNS == turn))
+    at = np.flatnonzero(train & (np.arange(len(words)) % TURNS == turn % TURNS))
     rng = np.random.default_rng(turn)
     rng.shuffle(at)
-    tables = [weights.first.copy(), weights.second.copy()]
-    squares = [np.full(FEATURES, 1e-1, np.float32) for _ in tables]
-    for a in range(0, len(at), 2048):
-        some = at[a : a + 2048]
+    tables, squares = [weights.first.copy(), weights.second.copy()], weights.squares.copy()
+    for a in range(0, len(at), STEP_SIZE):
+        some = at[a : a + STEP_SIZE]
         klass, sub = bucket[some] // CLASSES, bucket[some] % CLASSES
         both = _rows(features, some, klass)
         for table_, square, rows, bias, right in zip(tables, squares, both, (weights.bias1, weights.bias2[klass]), (klass, sub)):
             slope = np.exp(_softmax(table_, rows, bias))
             slope[np.arange(len(some)), right] -= 1
             every = np.concatenate(rows)
-            order = np.argsort(every, kind="stable")
-            first = np.flatnonzero(np.diff(every[order], prepend=-1))
-            which = every[order][first]
-            slopes = np.add.reduceat(slope[order % len(some)], first, axis=0)
-            square[which] += (slopes * slopes).mean(axis=1)
-            table_[which] -= RATE * slopes / np.sqrt(square[which])[:, None]
-    return np.stack([tables[0] - weights.first, tables[1] - weights.second]), len(at)
+            order = np.argsort(every.astype(np.uint16), kind="stable")  # a radix sort: FEATURES is 2 ** 16 at most
+            every = every[order]
+            first = np.flatnonzero(np.diff(every, prepend=-1))
+            which = every[first]
+            slopes = np.add.reduceat(slope.take(order % len(some), axis=0), first, axis=0)
+            square[which] += np.einsum("ij,ij->i", slopes, slopes) / CLASSES
+            table_[which] -= slopes * (RATE / np.sqrt(square[which]))[:, None]
+    return np.stack([tables[0] - weights.first, tables[1] - weights.second]), squares - weights.squares, len(at)
 
 
 def train(read: DataFrame, tokens: np.ndarray) -> Weights:
     """Weights after ROUNDS of averaged local updates over all chunks."""
     spark, weights = read.sparkSession, Weights(tokens)
     size = 2 * FEATURES * CLASSES
-    cuts = [(size + 1) * k // BLOCKS for k in range(BLOCKS + 1)]
+    cuts = [(size + 2 * FEATURES) * k // BLOCKS for k in range(BLOCKS + 1)]
+    groups = max(1, round(read.rdd.getNumPartitions() ** 0.5))
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(weights)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            total, positions = np.zeros(size + 1, np.float32), 0
+            from pyspark import TaskContext
+
+            total, positions = np.zeros(size + 2 * FEATURES, np.float32), 0
             for batch in batches:
                 for k in range(batch.num_rows):
-                    change, n = _learn({c: batch.column(c)[k].as_py() for c in batch.schema.names}, sent.value, turn)
-                    total[:-1] += change.reshape(-1) * n
+                    change, squares, n = _learn({c: batch.column(c)[k].as_py() for c in batch.schema.names}, sent.value, turn)
+                    total[:size] += change.reshape(-1) * n
+                    total[size:] += squares.reshape(-1) * n
                     positions += n
-            total[-1] = positions
             if positions:
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["k", "x"])
-
-        total = _summed(read.select("lengths", "held", "hashes", "tokens").mapInArrow(run, "k long, x binary"), cuts)
-        if total[-1] > 0:
-            average = (total[:-1] / total[-1]).reshape(2, FEATURES, CLASSES)
-            weights.first += average[0]
-            weights.second += average[1]
+                mean = np.clip(total / positions, -60000, 60000).astype(np.float16)
+                rows = [pa.array(range(BLOCKS), pa.int64()), pa.array([TaskContext.get().partitionId() % groups] * BLOCKS, pa.int64()), pa.array([positions] * BLOCKS, pa.int64()), pa.array([mean[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["k", "g", "n", "x"])
+
+        change, positions = _averaged(read.select("lengths", "held", "hashes", "tokens").mapInArrow(run, "k long, g long, n long, x binary"), cuts)
+        if positions:
+            tables = change[:size].reshape(2, FEATURES, CLASSES)
+            weights.first += tables[0]
+            weights.second += tables[1]
+            weights.squares += change[size:].reshape(2, FEATURES)
     return weights
 
 
-def _summed(parts: DataFrame, cuts: list[int]) -> np.ndarray:
-    """The sum of the tasks' arrays, which come cut into blocks (k, x): added by block on the executors."""
+def _averaged(parts: DataFrame, cuts: list[int]) -> tuple[np.ndarray, int]:
+    """The mean of the tasks' arrays by their positions n, and all positions. Arrays come cut into blocks (k, g, n, x): a block is averaged in groups of tasks first, then the groups."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(x, np.float32).astype(np.float64)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "x"])
+            for k, g, n, x in zip(*(batch.column(c).to_pylist() for c in ("k", "g", "n", "x"))):
+                before, total = sums.get((k, g), (0, 0.0))
+                sums[k, g] = before + n, total + np.frombuffer(x, np.float16 if len(x) == 2 * (cuts[k + 1] - cuts[k]) else np.float32).astype(np.float64) * n
+        rows = [(k, 0, n, (x / n).astype(np.float32).tobytes()) for (k, _), (n, x) in sums.items()]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k", "g", "n", "x"])
 
-    total = np.zeros(cuts[-1])
-    for k, x in parts.repartition("k").mapInArrow(add, "k long, x binary").collect():  # one model
-        total[cuts[k] : cuts[k + 1]] = np.frombuffer(x, np.float64)
-    return total
+    kind = "k long, g long, n long, x binary"
+    change, positions = np.zeros(cuts[-1], np.float32), 0
+    for k, _, n, x in parts.repartition("k", "g").mapInArrow(add, kind).repartition("k").mapInArrow(add, kind).collect():  # one model
+        change[cuts[k] : cuts[k + 1]], positions = np.frombuffer(x, np.float32), n
+    return change, positions
 
 
 def scores(docs: DataFrame, work: str | None = None, most: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     work = work or shared_dir(spark)
-    read = store(chunks(docs, most), f"{work}/chunks")
+    read = store(chunks(docs, most), f"{work}/chunks", "zstd")
     found = store(totals(read, max(16, int(16 * read.count() ** 0.5))), f"{work}/totals")
     sums = _added(found.filter("chunk IS NULL"), "counts", np.int64, 2 * BUCKETS).reshape(2, BUCKETS)
     n, v = int(sums[0].sum()), int(sums[1].sum())

@@ -369,11 +369,84 @@ def test_language_model(spark):
     assert maxent.scores(df.limit(0)).count() == 0
 
 
+def test_score_against_brute_force(spark, monkeypatch):
+    """Every text's score again, from the trained weights, word by word with plain Python numbers."""
+    kept = []
+    train = maxent.train
+    monkeypatch.setattr(maxent, "train", lambda *given: kept.append(train(*given)) or kept[0])
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["Alpha", "beta", "béta", "x", "gamma-long-word", "alpine"]) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(60, "unseen Alphb"), (61, None), (61, "x " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {}
+    for r in maxent.scores(df, most=300).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    (weights,) = kept
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+    m64 = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & m64
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & m64
+        return h ^ h >> 33
+
+    step = 0x9E3779B97F4A7C15
+
+    def hashed(w):
+        if w is None:
+            return int(maxent.END)
+        b = w.encode()
+        total = sum(mix((int.from_bytes(b[8 * i : 8 * i + 8], "little") + (i + 1) * step) & m64) for i in range((len(b) + 7) // 8))
+        h = mix((total + len(b)) & m64)
+        klass = mix((int.from_bytes(b[:2], "little") + step) & m64) >> 59
+        sub = mix((int.from_bytes(b[:4], "little") * step + step) & m64) >> 59
+        return h >> 10 << 10 | klass << 5 | sub
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(hashed(w) for d, t in rows if not held(d) for w in [*words(t), None])
+    tokens, kinds = Counter(), Counter()
+    for h, n in counts.items():
+        tokens[h & 1023] += n
+        kinds[h & 1023] += 1
+
+    def log_softmax(table, at, bias):
+        z = [sum(float(table[r][c]) for r in at) + float(bias[c]) for c in range(32)]
+        top = max(z)
+        return [x - top - math.log(sum(math.exp(y - top) for y in z)) for x in z]
+
+    want = {}
+    for d, t in rows:
+        one = two = int(maxent.END)
+        score = 0.0
+        for w in [*words(t), None]:
+            h = hashed(w)
+            klass, sub = h >> 5 & 31, h & 31
+            features = [mix((one + step) & m64), mix(two ^ step), mix((one * 31 + two) & m64)]
+            score += log_softmax(weights.first, [f & maxent.FEATURES - 1 for f in features], weights.bias1)[klass]
+            own = [((f ^ klass * 0xA24BAED4963EE407 & m64) * step & m64) >> 40 & maxent.FEATURES - 1 for f in features]
+            score += log_softmax(weights.second, own, weights.bias2[klass])[sub]
+            score += math.log((counts[h] + 1) / (tokens[h & 1023] + kinds[h & 1023] + 1))
+            one, two = h, one
+        want.setdefault(d, []).append(score / math.log(10))
+    assert weights.first.any() and weights.second.any() and got.keys() == want.keys()
+    for d in want:
+        assert sorted(got[d]) == pytest.approx(sorted(want[d]), rel=1e-4), d
+
+
+def test_held_out_gain(spark):
+    """On texts that were not learnt from, the model beats the unigram shares clearly."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    share = maxent.scores(docs).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert share[0] > 0.97 * share[1]
+
+
 def test_every_training_position_is_learnt(spark):
     df = spark.createDataFrame([(k, f"w{k} x{k} y{k} z{k} " * 20) for k in range(40)], "doc_id long, text string").coalesce(1)
     (row,) = maxent.chunks(df).collect()
     weights = maxent.Weights(np.ones(maxent.BUCKETS))
-    learnt = sum(maxent._learn(row, weights, turn)[1] for turn in range(maxent.ROUNDS))
+    learnt = sum(maxent._learn(row, weights, turn)[2] for turn in range(maxent.ROUNDS))
     assert learnt == sum(n for n, held in zip(row["lengths"], row["held"]) if not held) > 0
 
 
