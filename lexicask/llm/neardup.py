@@ -10,16 +10,18 @@ sum of min weights / sum of max weights.
 2. `SAMPLES` consistent weighted samples of each text, in bands of `ROWS`: texts that share a band meet.
 3. Buckets up to `FEW` texts give all their pairs. A larger one is split by the samples of four other bands, and small parts again
    give all pairs; every larger bucket also links each text to a centre that differs from bucket to bucket.
-   Texts of larger buckets are also joined by prefixes, which misses no pair: a text's shingles in one order of all, the rare ones
-   first, up to where the rest weighs less than `SIMILAR` of the whole. Two similar texts share a shingle of both prefixes, and a
-   passage that many texts share is in few of them. A prefix shingle of more than `FEW` texts is cut into blocks of `BLOCK` texts,
-   and every pair of blocks compares its texts of different classes (of the links verified so far) by their samples.
 4. Pairs whose samples agree too rarely to be similar (see SCREEN) go; the rest are verified on the texts, first one pair for each
-   text, then every pair whose texts are not yet in one class.
-5. Verified links are joined to classes; a class is named by its smallest doc_id.
-
-Defined results: null texts and texts without words are similar to nothing; rows of one doc_id (repeated rows) with one text are
-one document, kept or dropped together; null doc_ids are left out of the comparison and kept; an empty table gives no row. Only
+   text, then in `ROUNDS` rounds one pair for each class, then every pair whose texts are not yet in one class.
+5. Texts of larger buckets are also joined by prefixes, which misses no pair: a text's shingles in one order of all, the rare ones
+   first, up to where the rest weighs less than `SIMILAR` of the whole. Two similar texts share a shingle of both prefixes, and at
+   the first one they share, what both have left must hold all that they have in common: pairs that have not enough left go, which
+   is nearly all pairs that share a passage and little else. A prefix shingle of more than `FEW` texts is cut into blocks of
+   `BLOCK` texts, and every pair of blocks compares its texts of different classes (of the links verified so far) by what they
+   have left and by their samples. What is found is screened and verified like the pairs before.
+6. Verified links are joined to classes, each step's on the classes of the steps before; a class is named by its smallest doc_id.
+
+Defined results: null texts and texts without words are similar to nothing; rows of one doc_id are one
+document, kept or dropped together, which is similar to whatever any of its texts is similar to; null doc_ids are left out of the comparison and kept; an empty table gives no row. Only
 doc_id and text are read.
 """
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicask.llm.common import mixed, shared_dir, slices, store, table, words_of
+from lexicask.llm.common import discard, mixed, shared_dir, slices, store, table, words_of
 from lexicask.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -45,6 +47,8 @@ FEW = 24
 ORDER_CELLS, BLOCK = 1 << 20, 512
 #: Samples that must agree for a pair to be verified: of 30 at similarity 0.8, fewer than 15 agree once in 10,000 pairs.
 SCREEN = 15
+#: Rounds in which each class tries its best pair, before all pairs between classes are tried.
+ROUNDS = 2
 #: Documents that are hashed together.
 GROUP = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +207,11 @@ def _pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, met.filter(F.col("n") > FEW)
 
 
+def agreeing(x: F.Column, y: F.Column) -> F.Column:
+    """How many samples of two texts agree."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda n, p: n + p)
+
+
 def candidates(reps: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of rep that meet, and the texts (rep) of buckets that were too large to give all theirs. reps: rep, sig, bands."""
     level = reps.select("rep", "bands", F.posexplode("bands").alias("band", "key"))
@@ -216,7 +225,7 @@ def candidates(reps: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
-    """rep and key, a hash of each shingle of the text's prefix."""
+    """rep and key, a hash of each shingle of the text's prefix, with what the text weighs (whole) and what its shingles from this one on weigh (rest)."""
 
     def cells_of(column: pa.Array) -> np.ndarray:
         value = shingles(column, idf)[0]
@@ -237,44 +246,61 @@ def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
                 before = upto - weight - (np.cumsum(whole) - whole)[row]
                 # a shingle is in if what begins with it could still be enough by itself
                 keep = np.flatnonzero(whole[row] - before >= (similar - 1e-6) * whole[row])
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row[keep])), pa.array(value[order][keep].view(np.int64))], names=["rep", "key"])
+                rest = whole[row] - before
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row[keep])), pa.array(value[order][keep].view(np.int64)), pa.array(whole[row[keep]]), pa.array(rest[keep])], names=["rep", "key", "whole", "rest"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, key long")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, key long, whole double, rest double")
 
 
 def crowded_pairs(texts: DataFrame, reps: DataFrame, so_far: DataFrame, idf: np.ndarray, similar: float, work: str) -> DataFrame:
-    """Distinct pairs a < b of texts that share a prefix shingle; of crowded ones those whose samples agree and that are not in one class of so_far."""
-    keyed = store(prefixes(texts, idf, similar), f"{work}/prefixes")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    """Distinct pairs a < b, with the samples that agree, of texts of different classes of so_far that share a prefix shingle from which on both have enough left and whose samples agree often enough."""
+    share = similar / (1 + similar) - 1e-6  # of both weights together, what similar texts have in common
+    keyed = prefixes(texts, idf, similar).join(so_far.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    keyed = store(keyed, f"{work}/prefixes")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key", "n")
     met = keyed.join(sizes, "key")
-    lists = met.filter(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
-    inner = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    small = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    named = met.filter(F.col("n") > FEW).join(so_far.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep"))
-    named = store(named.select("key", "rep", "n", "class"), f"{work}/crowded")
-    mixed_ = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+    sigs = reps.select("rep", "sig")
+    lists = met.filter(F.col("n") <= FEW).join(sigs, "rep").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "class", "whole", "rest", "sig"))).alias("m"))
+    enough = lambda a, b: (b["rep"] > a["rep"]) & (a["class"] != b["class"]) & (F.least(a["rest"], b["rest"]) >= share * (a["whole"] + b["whole"]))
+    inner = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: enough(a, b)), lambda b: F.struct(a["rep"].alias("a"), b["rep"].alias("b"), agreeing(a["sig"], b["sig"]).alias("agree")))))
+    small = lists.select(F.explode(F.filter(inner, lambda p: p["agree"] >= SCREEN)).alias("p")).select("p.a", "p.b", "p.agree")
     blocks = F.expr(f"CAST((n + {BLOCK} - 1) div {BLOCK} AS INT)")
-    own = named.join(mixed_, "key").join(reps.select("rep", "sig"), "rep").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    own = met.filter(F.col("n") > FEW).join(sigs, "rep").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("i"), F.greatest(o, F.col("at")).alias("j")))
-    dealt = own.select("key", "rep", "class", "sig", "at", F.explode(meetings).alias("g")).select("key", "rep", "class", "sig", "at", "g.i", "g.j")
+    columns = ["key", "rep", "class", "whole", "rest", "sig", "at"]
+    dealt = own.select(*columns, F.explode(meetings).alias("g")).select(*columns, "g.i", "g.j")
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, kind, at = (group.column(c).to_numpy() for c in ("rep", "class", "at"))
+        rep, kind, at, whole, rest = (group.column(c).to_numpy() for c in ("rep", "class", "at", "whole", "rest"))
         sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
         found = []
         for k in range(0, len(left), BLOCK):
             some = left[k : k + BLOCK]
-            agree = np.zeros((len(some), len(right)), np.uint8)
+            x, y = np.nonzero(np.minimum(rest[some][:, None], rest[right]) >= share * (whole[some][:, None] + whole[right]))
+            x, y = some[x], right[y]
+            good = (kind[x] != kind[y]) & ((rep[x] < rep[y]) | (i != j))
+            x, y = x[good], y[good]
+            agree = np.zeros(len(x), np.uint8)
             for s in range(SAMPLES):
-                agree += sig[some, s][:, None] == sig[right, s]
-            x, y = np.nonzero((agree >= SCREEN) & (kind[some][:, None] != kind[right]) & ((rep[some][:, None] < rep[right]) | (i != j)))
-            found.append((rep[some[x]], rep[right[y]]))
-        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                agree += sig[x, s] == sig[y, s]
+            good = agree >= SCREEN
+            found.append((rep[x[good]], rep[y[good]], agree[good].astype(np.int32)))
+        x, y, agree = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "agree": agree})
+
+    return small.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, agree int")).distinct()
 
-    return small.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+
+def merged(so_far: DataFrame, links: DataFrame, work: str) -> DataFrame:
+    """so_far (id, component) after further links a, b: only the links between its classes are followed."""
+    of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), f"{work}/rounds").withColumnRenamed("component", "into")
+    old = so_far.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+    new = joined.join(so_far.select("id"), "id", "left_anti").select("id", F.col("into").alias("component"))
+    return store(old.unionAll(new), f"{work}/merged")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
@@ -314,31 +340,39 @@ def texts_of(pairs: DataFrame, crowd: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None = None) -> DataFrame:
-    """doc_id and class_id (smallest doc_id of its class) of each doc_id whose text has words."""
+    """doc_id and class_id (smallest doc_id of its class) of each doc_id whose text has words. All tables but the result's are deleted again."""
     spark = docs.sparkSession
     work = work or shared_dir(spark)
+    steps = f"{work}/steps"
     idf = idf_table(*document_frequencies(docs))
-    signed = store(signatures(docs, idf), f"{work}/signed")
-    reps = store(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), f"{work}/reps")
-    met, crowd = candidates(reps.select("rep", "bands"), work)
+    signed = store(signatures(docs, idf), f"{steps}/signed")
+    reps = store(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), f"{steps}/reps")
+    met, crowd = candidates(reps.select("rep", "bands"), steps)
     a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    screened = lambda met: met.join(a, "a").join(b, "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= SCREEN)
-    pairs = store(screened(met), f"{work}/pairs")
-    texts = store(texts_of(pairs, crowd, docs), f"{work}/texts")
+    pairs = store(met.join(a, "a").join(b, "b").select("a", "b", agreeing(F.col("sa"), F.col("sb")).alias("agree")).filter(F.col("agree") >= SCREEN), f"{steps}/pairs")
+    texts = store(texts_of(pairs, crowd, docs), f"{steps}/texts")
     # one pair for each text first: the one that agrees most
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    first = store(verified(best, texts, idf, similar), f"{work}/first")
-    so_far = store(components(first, f"{work}/first_classes"), f"{work}/so_far")
-    of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    more = screened(crowded_pairs(texts.filter("crowded"), reps, so_far, idf, similar, work))
-    pairs = pairs.unionAll(more).select("a", "b").distinct()
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    second = store(verified(store(apart.select("a", "b"), f"{work}/apart"), texts, idf, similar), f"{work}/second")
-    links = first.select("a", "b").unionAll(second.select("a", "b"))
-    named = components(links, f"{work}/classes").withColumnRenamed("id", "rep")
+    links = store(verified(best, texts, idf, similar), f"{steps}/first")
+    classes = store(components(links, f"{steps}/first_rounds"), f"{steps}/first_classes")
+    tried = best
+    for name, met in (("pairs", lambda: pairs), ("crowd", lambda: store(crowded_pairs(texts.filter("crowded"), reps, classes, idf, similar, steps), f"{steps}/crowd"))):
+        met = met()
+        for k in range(ROUNDS + 1):
+            of = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
+            apart = met.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+            if k < ROUNDS:  # of each class the pair that agrees most
+                most = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")
+                apart = apart.select("a", "b", "agree", F.explode(F.array("ca", "cb")).alias("of")).groupBy("of").agg(most).select("p.a", "p.b").distinct()
+            now = store(apart.select("a", "b"), f"{steps}/{name}{k}")
+            links = store(verified(now, texts, idf, similar), f"{steps}/{name}{k}_links")
+            classes, tried = merged(classes, links, f"{steps}/{name}{k}_step"), tried.unionAll(now)
+    named = classes.withColumnRenamed("id", "rep")
     members = signed.select("doc_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
-    return members.join(named, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = members.join(named, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = store(found, f"{work}/members")
+    discard(spark, steps)
+    return found
 
 
 def stage(docs: DataFrame) -> DataFrame:
