@@ -8,16 +8,17 @@ sum of min weights / sum of max weights.
 
 1. Texts with equal words form one exact class; only its smallest doc_id goes on.
 2. `SAMPLES` consistent weighted samples of each text, in bands of `ROWS`: texts that share a band meet.
-3. Buckets up to `FEW` texts give all their pairs. A larger one is split by the samples of four other bands, and small parts again
-   give all pairs; every larger bucket also links each text to a centre that differs from bucket to bucket.
-4. Pairs whose samples agree too rarely to be similar (see SCREEN) go; the rest are verified on the texts, first one pair for each
-   text, then in `ROUNDS` rounds one pair for each class, then every pair whose texts are not yet in one class.
-5. Texts of larger buckets are also joined by prefixes, which misses no pair: a text's shingles in one order of all, the rare ones
+3. Buckets up to `FEW` texts give all their pairs; in a larger one each text meets a centre that differs from bucket to bucket.
+   Pairs whose samples agree too rarely to be similar (see SCREEN) go, and one pair for each text, the one that agrees most, is
+   verified on the texts. What is linked so far is one class.
+4. Texts of larger buckets are also joined by prefixes, which misses no pair: a text's shingles in one order of all, the rare ones
    first, up to where the rest weighs less than `SIMILAR` of the whole. Two similar texts share a shingle of both prefixes, and at
    the first one they share, what both have left must hold all that they have in common: pairs that have not enough left go, which
    is nearly all pairs that share a passage and little else. A prefix shingle of more than `FEW` texts is cut into blocks of
    `BLOCK` texts, and every pair of blocks compares its texts of different classes (of the links verified so far) by what they
-   have left and by their samples. What is found is screened and verified like the pairs before.
+   have left and by `LONG` further samples.
+5. Of all pairs of both ways whose texts are not yet in one class, in `ROUNDS` rounds each text verifies the one that agrees most, which
+   joins most of a large group by few pairs; then every pair that is still between classes is verified.
 6. Verified links are joined to classes, each step's on the classes of the steps before; a class is named by its smallest doc_id.
 
 Defined results: null texts and texts without words are similar to nothing; rows of one doc_id are one
@@ -47,7 +48,9 @@ FEW = 24
 ORDER_CELLS, BLOCK = 1 << 20, 512
 #: Samples that must agree for a pair to be verified: of 30 at similarity 0.8, fewer than 15 agree once in 10,000 pairs.
 SCREEN = 15
-#: Rounds in which each class tries its best pair, before all pairs between classes are tried.
+#: Samples (of 8 bits) of the texts of larger buckets, and how many must agree: at 0.8 fewer do once in 10,000 pairs.
+LONG, LONG_SCREEN = 128, 85
+#: Rounds in which each text tries its best pair with another class, before all pairs between classes are tried.
 ROUNDS = 2
 #: Documents that are hashed together.
 GROUP = 512
@@ -145,8 +148,8 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _TABLES: list[np.ndarray] = []
 
 
-def samples(value: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """SAMPLES consistent weighted samples (unsigned 32-bit) of each text that has shingles, in rows."""
+def samples(value: np.ndarray, weight: np.ndarray, count: np.ndarray, number: int = SAMPLES) -> np.ndarray:
+    """`number` consistent weighted samples (unsigned 32-bit) of each text that has shingles, in rows."""
     if not _TABLES:
         _TABLES.extend(_draws())
     R, RI, LC = _TABLES
@@ -154,12 +157,12 @@ def samples(value: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndar
     sizes = count[some]
     start = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(some)), sizes)
-    out = np.zeros((len(some), SAMPLES), np.uint32)
+    out = np.zeros((len(some), number), np.uint32)
     if not len(some):
         return out
     ln = np.log(weight)
     low = np.uint64(0xFFFF)
-    for k in range(SAMPLES):
+    for k in range(number):
         x = mixed(value + np.uint64((k + 1) * int(STEP) % (1 << 64)))
         i = (x & low).astype(np.int64)
         beta = (x >> np.uint64(32)) * (1.0 / (1 << 32))
@@ -197,6 +200,20 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, h1 long, h2 long, sig array<int>, bands array<long>")
 
 
+def long_signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """rep and sig, LONG samples of 8 bits, of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, GROUP):
+                value, weight, count, _, _ = shingles(some.column("text"), idf)
+                sig = (samples(value, weight, count, LONG) & np.uint32(0xFF)).astype(np.uint8).view(np.int8)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.reshape(-1)), LONG).cast(pa.list_(pa.int8()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(np.flatnonzero(count))), lists], names=["rep", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig array<tinyint>")
+
+
 def _pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All pairs of small buckets (key, rep, ...), and the rows of larger ones with the bucket's centre."""
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("centre")).filter("n > 1")
@@ -214,14 +231,11 @@ def agreeing(x: F.Column, y: F.Column) -> F.Column:
 
 def candidates(reps: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of rep that meet, and the texts (rep) of buckets that were too large to give all theirs. reps: rep, sig, bands."""
-    level = reps.select("rep", "bands", F.posexplode("bands").alias("band", "key"))
+    level = reps.select("rep", F.explode("bands").alias("key"))
     small, large = _pairs(level)
-    large = store(large.select("rep", "bands", "band", "key", "centre"), f"{work}/large")
-    other = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 4)]), lambda k: F.xxhash64("key", k, F.get("bands", (F.col("band") + k) % BANDS)))
-    split, rest = _pairs(large.select("rep", F.explode(other).alias("key")))
-    stars = large.select("rep", "centre").unionAll(rest.select("rep", "centre")).filter("rep <> centre")
-    stars = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    return small.unionAll(split).unionAll(stars).distinct(), large.select("rep").distinct()
+    large = store(large.select("rep", "centre"), f"{work}/large")
+    stars = large.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    return small.unionAll(stars).distinct(), large.select("rep").distinct()
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
@@ -252,52 +266,75 @@ def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "rep long, key long, whole double, rest double")
 
 
-def crowded_pairs(texts: DataFrame, reps: DataFrame, so_far: DataFrame, idf: np.ndarray, similar: float, work: str) -> DataFrame:
-    """Distinct pairs a < b, with the samples that agree, of texts of different classes of so_far that share a prefix shingle from which on both have enough left and whose samples agree often enough."""
+def crowded_pairs(met: DataFrame, similar: float, every: bool) -> DataFrame:
+    """Pairs a < b, with the samples that agree and both classes, of texts of different classes that share a prefix shingle from which on both have enough left and whose samples agree often enough.
+
+    met: rep, key, whole, rest, sig, class and n (texts of the key). Not every: of each text and key, or pair of blocks, the pair that agrees most.
+    """
     share = similar / (1 + similar) - 1e-6  # of both weights together, what similar texts have in common
-    keyed = prefixes(texts, idf, similar).join(so_far.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-    keyed = store(keyed, f"{work}/prefixes")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key", "n")
-    met = keyed.join(sizes, "key")
-    sigs = reps.select("rep", "sig")
-    lists = met.filter(F.col("n") <= FEW).join(sigs, "rep").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "class", "whole", "rest", "sig"))).alias("m"))
+    lists = met.filter(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "class", "whole", "rest", "sig"))).alias("m"))
     enough = lambda a, b: (b["rep"] > a["rep"]) & (a["class"] != b["class"]) & (F.least(a["rest"], b["rest"]) >= share * (a["whole"] + b["whole"]))
-    inner = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: enough(a, b)), lambda b: F.struct(a["rep"].alias("a"), b["rep"].alias("b"), agreeing(a["sig"], b["sig"]).alias("agree")))))
-    small = lists.select(F.explode(F.filter(inner, lambda p: p["agree"] >= SCREEN)).alias("p")).select("p.a", "p.b", "p.agree")
+    pair = lambda a, b: F.struct(agreeing(a["sig"], b["sig"]).alias("agree"), a["rep"].alias("a"), b["rep"].alias("b"), a["class"].alias("ca"), b["class"].alias("cb"))
+    of_one = lambda a: F.filter(F.transform(F.filter("m", lambda b: enough(a, b)), lambda b: pair(a, b)), lambda p: p["agree"] >= LONG_SCREEN)
+    if every:
+        inner = F.flatten(F.transform("m", of_one))
+    else:
+        inner = F.filter(F.transform("m", lambda a: F.array_max(of_one(a))), lambda p: p.isNotNull())
+    columns = ["a", "b", "agree", "ca", "cb"]
+    small = lists.select(F.explode(inner).alias("p")).select("p.*").select(columns)
     blocks = F.expr(f"CAST((n + {BLOCK} - 1) div {BLOCK} AS INT)")
-    own = met.filter(F.col("n") > FEW).join(sigs, "rep").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    own = met.filter(F.col("n") > FEW).withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("i"), F.greatest(o, F.col("at")).alias("j")))
-    columns = ["key", "rep", "class", "whole", "rest", "sig", "at"]
-    dealt = own.select(*columns, F.explode(meetings).alias("g")).select(*columns, "g.i", "g.j")
+    given = ["key", "rep", "class", "whole", "rest", "sig", "at"]
+    dealt = own.select(*given, F.explode(meetings).alias("g")).select(*given, "g.i", "g.j")
 
     def compare(group: pa.Table) -> pa.Table:
         rep, kind, at, whole, rest = (group.column(c).to_numpy() for c in ("rep", "class", "at", "whole", "rest"))
-        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, LONG)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         for k in range(0, len(left), BLOCK):
             some = left[k : k + BLOCK]
             x, y = np.nonzero(np.minimum(rest[some][:, None], rest[right]) >= share * (whole[some][:, None] + whole[right]))
             x, y = some[x], right[y]
             good = (kind[x] != kind[y]) & ((rep[x] < rep[y]) | (i != j))
             x, y = x[good], y[good]
-            agree = np.zeros(len(x), np.uint8)
-            for s in range(SAMPLES):
+            agree = np.zeros(len(x), np.int32)
+            for s in range(LONG):
                 agree += sig[x, s] == sig[y, s]
-            good = agree >= SCREEN
-            found.append((rep[x[good]], rep[y[good]], agree[good].astype(np.int32)))
-        x, y, agree = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "agree": agree})
+            good = agree >= LONG_SCREEN
+            x, y, agree = x[good], y[good], agree[good]
+            if not every:  # the first of each text when those that agree most come first
+                down = np.lexsort((y, x, -agree))
+                take = np.union1d(np.unique(x[down], return_index=True)[1], np.unique(y[down], return_index=True)[1])
+                x, y, agree = x[down][take], y[down][take], agree[down][take]
+            found.append((x, y, agree))
+        x, y, agree = (np.concatenate(z) for z in zip(*found))
+        x, y = np.where(rep[x] < rep[y], x, y), np.where(rep[x] < rep[y], y, x)
+        return pa.table({"a": rep[x], "b": rep[y], "agree": agree, "ca": kind[x], "cb": kind[y]})
+
+    return small.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, agree int, ca long, cb long")).distinct()
+
+
+def meetings_of(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of keyed (rep, key, ...) whose key has texts of more than one class, with their class and the texts of the key (n)."""
+    now = keyed.drop("class", "n").join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    sizes = now.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key", "n")
+    return now.join(sizes, "key")
+
 
-    return small.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, agree int")).distinct()
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs a, b, ... of texts of different classes, with both classes (ca, cb)."""
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return found.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
 
 
 def merged(so_far: DataFrame, links: DataFrame, work: str) -> DataFrame:
     """so_far (id, component) after further links a, b: only the links between its classes are followed."""
-    of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    joined = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), f"{work}/rounds").withColumnRenamed("component", "into")
+    between = apart(links.select("a", "b"), so_far)
+    joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"{work}/rounds").withColumnRenamed("component", "into")
     old = so_far.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
     new = joined.join(so_far.select("id"), "id", "left_anti").select("id", F.col("into").alias("component"))
     return store(old.unionAll(new), f"{work}/merged")
@@ -355,18 +392,22 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     links = store(verified(best, texts, idf, similar), f"{steps}/first")
     classes = store(components(links, f"{steps}/first_rounds"), f"{steps}/first_classes")
+    keyed = store(prefixes(texts.filter("crowded"), idf, similar), f"{steps}/prefixes")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keyed = keyed.join(shared, "key").join(store(long_signatures(texts.filter("crowded"), idf), f"{steps}/long"), "rep")
     tried = best
-    for name, met in (("pairs", lambda: pairs), ("crowd", lambda: store(crowded_pairs(texts.filter("crowded"), reps, classes, idf, similar, steps), f"{steps}/crowd"))):
-        met = met()
-        for k in range(ROUNDS + 1):
-            of = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
-            apart = met.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
-            if k < ROUNDS:  # of each class the pair that agrees most
-                most = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")
-                apart = apart.select("a", "b", "agree", F.explode(F.array("ca", "cb")).alias("of")).groupBy("of").agg(most).select("p.a", "p.b").distinct()
-            now = store(apart.select("a", "b"), f"{steps}/{name}{k}")
-            links = store(verified(now, texts, idf, similar), f"{steps}/{name}{k}_links")
-            classes, tried = merged(classes, links, f"{steps}/{name}{k}_step"), tried.unionAll(now)
+    for k in range(ROUNDS + 1):
+        every = k == ROUNDS
+        keyed = store(meetings_of(keyed, classes), f"{steps}/keyed{k}")
+        ways = ((apart(pairs, classes), SAMPLES), (crowded_pairs(keyed, similar, every), LONG))
+        met, more = (way.select("a", "b", (F.col("agree") / n).alias("agree")) for way, n in ways)
+        now = met.unionAll(more)
+        if not every:  # of each text the pair that agrees most
+            most = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")
+            now = now.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(most).select("p.a", "p.b").distinct()
+        now = store(now.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"{steps}/{k}")
+        links = store(verified(now, texts, idf, similar), f"{steps}/{k}_links")
+        classes, tried = merged(classes, links, f"{steps}/{k}_step"), tried.unionAll(now)
     named = classes.withColumnRenamed("id", "rep")
     members = signed.select("doc_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
     found = members.join(named, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
