@@ -15,9 +15,17 @@ def tokens(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB of 1024, two decimals above B."""
-    steps = ((1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB"))
+    """Bytes as B, KB, MB or GB of 1024, two decimals above B: of the exact quotient, halves to the even digit, as C's printf has them."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for size, unit in reversed(steps):
-        out = F.when(n >= size, F.concat(F.format_string("%.2f", n / F.lit(float(size))), F.lit(f" {unit}"))).otherwise(out)
+    for bits, unit in ((10, "KB"), (20, "MB"), (30, "GB")):
+        out = F.when(n >= 1 << bits, F.concat(_two_decimals(n, bits), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def _two_decimals(n: Column, bits: int) -> Column:
+    """n / 2**bits for n >= 0, as text. format_string would round halves up; n is rounded to a double first, as by the division of doubles."""
+    size, whole = 1 << bits, n.cast("double").cast("long")
+    scaled = whole.bitwiseAND(F.lit(size - 1)) * 100  # hundredths of what is left of the whole units, in 2**bits parts
+    odd = F.shiftright(scaled, bits).bitwiseAND(F.lit(1))
+    hundredths = F.shiftright(whole, bits) * 100 + F.shiftright(scaled + (size // 2 - 1) + odd, bits)
+    return F.format_string("%d.%02d", F.call_function("div", hundredths, F.lit(100)), hundredths % 100)

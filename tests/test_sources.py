@@ -1,10 +1,12 @@
 import io
 import struct
 
+import duckdb
 import pytest
 
 from lexicask.__main__ import main
 from lexicask.functions.text import format_bytes
+from lexicask.plans import catalogue
 from lexicask.sources import linedocs
 from pyspark.sql import functions as F
 
@@ -97,3 +99,15 @@ def test_format_bytes(spark):
     sizes = [(0, "0 B"), (1023, "1023 B"), (1024, "1.00 KB"), (1536, "1.50 KB"), (5 << 20, "5.00 MB"), (3 << 30, "3.00 GB")]
     df = spark.createDataFrame([(n,) for n, _ in sizes], "n long").select(format_bytes(F.col("n")).alias("s"))
     assert [r.s for r in df.collect()] == [s for _, s in sizes]
+
+
+def test_format_bytes_rounds_as_sql(spark):
+    """Halves of a hundredth go to the even digit (31360 / 1024 = 30.625 is 30.62, not 30.63), values just beside them to the nearest, in every unit."""
+    sizes = [31360] + [(m << bits - 3) + d for bits in (10, 20, 30) for m in [*range(8, 200), 8003, 8189, 8191] for d in (-1, 0, 1)]
+    sizes += [k * 1103515245 % (1 << bits) for bits in (20, 30, 40, 62) for k in range(1, 400)] + [1 << 53, (1 << 53) + 1, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", format_bytes(F.col("n")).alias("s")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE b AS SELECT unnest($1)::BIGINT AS n", [sizes])
+    sql = catalogue.ORACLE_SQL["byte_sizes"].split("SELECT doc_id, ")[-1]
+    assert {(r.n, r.s) for r in rows} == set(con.execute(f"SELECT n, {sql}").fetchall())
+    assert ("30.62 KB", "1024.00 MB") == tuple(dict((r.n, r.s) for r in rows)[n] for n in (31360, (1 << 30) - 1))
