@@ -30,3 +30,12 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["doc_id", "tf", "positions"]
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_byte_sizes_on_larger_tables(spark):
+    """sf0.001 has no size that lies half-way between two hundredths; document 882 of sf0.01 has one."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    ours = {r.doc_id: r["size"] for r in catalogue.byte_sizes(spark, sf).collect()}
+    assert ours == dict(con.execute(catalogue.ORACLE_SQL["byte_sizes"]).fetchall()) and ours[882] == "30.62 KB"
