@@ -14,7 +14,7 @@ from lexicask.plans.numbering import dense_ids
 from lexicask.plans.workdir import shared_folder
 from lexicask.schema import Features
 from lexicask.sources import linedocs
-from lexicask.streaming.ingest import ingest_stream
+from lexicask.streaming.ingest import ingest_stream, table_stream
 
 TARGETS = [("the", 0), ("the", 10), ("the", 500), ("the", 100_000_000), ("and", 77), ("ghost", 3)]
 
@@ -129,9 +129,9 @@ def line_docs(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """A stream of the table's file, every micro-batch one generation."""
+    """A stream of the table's files, every micro-batch one generation."""
     path = work_dir(spark)
-    stream = spark.readStream.schema(_documents(spark, sf_dir).schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = table_stream(spark, f"{sf_dir}/documents.parquet")
     ingest_stream(stream, Index.open(spark, f"{path}/index", {"body": Features.TERM_FREQUENCY}), {"body": "text"}, f"{path}/checkpoint").awaitTermination()
     return Index.open(spark, f"{path}/index").token_stats().drop("field")
 

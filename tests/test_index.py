@@ -1,7 +1,11 @@
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexicask.operators import build, lookup, search
+from lexicask.plans import catalogue
 from lexicask.plans.index import Index, IndexRefused, drop
 from lexicask.plans.ingest import ingest
 from lexicask.plans.numbering import dense_ids
@@ -158,3 +162,18 @@ def test_dense_ids(spark, tmp_path):
     got = dense_ids(rows, ["k"], f"{tmp_path}/w", start=5)
     assert got.columns == ["doc_id", "k", "text"] and got.filter("doc_id <> k + 5").count() == 0 and got.count() == 1000
     assert dense_ids(rows.limit(0), ["k"], f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("files", [0, 1, 5])
+def test_stream_of_a_table(spark, sf, tmp_path, files):
+    """The table is one file (0), or a folder of one file or more; other tables and copies beside it are not read."""
+    source, at = spark.read.parquet(f"{sf}/documents.parquet"), f"{tmp_path}/documents.parquet"
+    if files:
+        source.repartition(files).write.parquet(at)
+    else:
+        shutil.copy(f"{sf}/documents.parquet", at)
+    source.limit(9).write.parquet(f"{tmp_path}/labels.parquet")
+    os.makedirs(f"{tmp_path}/old")
+    shutil.copy(f"{sf}/documents.parquet", f"{tmp_path}/old/documents.parquet")
+    found, whole = catalogue.stream_ingest(spark, str(tmp_path)), catalogue.token_stats(spark, sf)
+    assert whole.count() > 0 and found.exceptAll(whole).count() == 0 and whole.exceptAll(found).count() == 0
