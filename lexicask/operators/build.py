@@ -26,17 +26,19 @@ def document_postings(docs: DataFrame, fields: dict[str, Column | str], features
     none = F.array().cast("array<int>")
     if features is Features.DOC:
         return each.select("field", F.explode(F.array_distinct("_t")).alias("token"), "doc_id", F.lit(1).cast("long").alias("tf"), none.alias("positions"))
-    # sorted by token and place; where a new token begins; each token's stretch
+    # sorted by token (and place, where positions are kept); where a new token begins; each token's stretch
     bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
-    placed = F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["t"] != F.get(s, i - 1)["t"]), i).otherwise(-1)), lambda i: i >= 0)
-    stretch = lambda s, b, k, at: F.struct(F.get(s, b)["t"].alias("token"), b.alias("at"), (F.coalesce(F.get(at, k + 1), F.size(s)) - b).alias("n"))
-    if features is Features.TERM_FREQUENCY:
-        grouped = bound(placed, lambda s: bound(starts(s), lambda at: F.transform(at, lambda b, k: stretch(s, b, k, at))))
+    starts = lambda s, of: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (of(x) != of(F.get(s, i - 1))), i).otherwise(-1)), lambda i: i >= 0)
+    stretch = lambda s, of, b, k, at: F.struct(of(F.get(s, b)).alias("token"), b.alias("at"), (F.coalesce(F.get(at, k + 1), F.size(s)) - b).alias("n"))
+    if features is Features.TERM_FREQUENCY:  # plain strings sort faster than structs
+        of = lambda x: x
+        grouped = bound(F.sort_array("_t"), lambda s: bound(starts(s, of), lambda at: F.transform(at, lambda b, k: stretch(s, of, b, k, at))))
         found = each.select("field", "doc_id", F.explode(grouped).alias("g"))
         return found.select("field", "g.token", "doc_id", F.col("g.n").cast("long").alias("tf"), none.alias("positions"))
+    of = lambda x: x["t"]
+    placed = F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
     places = lambda s, g: F.transform(F.slice(s, g["at"] + 1, g["n"]), lambda x: x["i"])
-    grouped = bound(placed, lambda s: bound(starts(s), lambda at: F.transform(F.transform(at, lambda b, k: stretch(s, b, k, at)), lambda g: F.struct(g["token"].alias("token"), places(s, g).alias("positions")))))
+    grouped = bound(placed, lambda s: bound(starts(s, of), lambda at: F.transform(F.transform(at, lambda b, k: stretch(s, of, b, k, at)), lambda g: F.struct(g["token"].alias("token"), places(s, g).alias("positions")))))
     found = each.select("field", "doc_id", F.explode(grouped).alias("g"))
     return found.select("field", "g.token", "doc_id", F.size("g.positions").cast("long").alias("tf"), "g.positions")
 
