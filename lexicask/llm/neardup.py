@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicask.llm.common import discard, mixed, shared_dir, slices, store, table, words_of
-from lexicask.llm.components import components
+from lexicask.llm.components import components, components_of_few
 
 SHINGLE, SIMILAR = 5, 0.8
 SAMPLES, ROWS = 30, 3
@@ -332,7 +332,10 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def merged(so_far: DataFrame, links: DataFrame, work: str) -> DataFrame:
-    """so_far (id, component) after further links a, b: only the links between its classes are followed."""
+    """so_far (id, component) after further links a, b, both stored: only the links between its classes are followed, if there are many."""
+    few = components_of_few(links.select("a", "b").unionAll(so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))), work)
+    if few is not None:
+        return few
     between = apart(links.select("a", "b"), so_far)
     joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"{work}/rounds").withColumnRenamed("component", "into")
     old = so_far.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
@@ -391,7 +394,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, work: str | None
     # one pair for each text first: the one that agrees most
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     links = store(verified(best, texts, idf, similar), f"{steps}/first")
-    classes = store(components(links, f"{steps}/first_rounds"), f"{steps}/first_classes")
+    classes = components(links, f"{steps}/first_rounds")
     keyed = store(prefixes(texts.filter("crowded"), idf, similar), f"{steps}/prefixes")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keyed = keyed.join(shared, "key").join(store(long_signatures(texts.filter("crowded"), idf), f"{steps}/long"), "rep")

@@ -45,6 +45,23 @@ def test_components(spark, tmp_path):
     assert components(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_few_links_take_few_jobs(spark, tmp_path, monkeypatch):
+    """Up to MOST links are joined by one task, whatever the shuffle partitions; more go through the rounds, with the same result."""
+    rng = random.Random(3)
+    links = [(k, k + 1) for k in range(300)] + [(rng.randint(1000, 3000), rng.randint(1000, 3000)) for _ in range(900)] + [(-5, 300), (9, 9)]
+    spark.createDataFrame(links, "a long, b long").write.parquet(f"{tmp_path}/in")
+    df, context = spark.read.parquet(f"{tmp_path}/in"), spark.sparkContext
+    context.setJobGroup(f"{tmp_path}", "components")
+    few = components(df, f"file://{tmp_path}/few")
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"{tmp_path}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.id: r.component for r in few.collect()}
+    assert 0 < jobs <= 4
+    assert got == union_find([l for l in links if l[0] != l[1]], {x for l in links if l[0] != l[1] for x in l})
+    monkeypatch.setattr("lexicask.llm.components.MOST", len(links) - 1)
+    assert got == {r.id: r.component for r in components(df, f"file://{tmp_path}/many").collect()}
+
+
 # -- near-duplicate texts
 
 
