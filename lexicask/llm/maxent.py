@@ -191,17 +191,36 @@ def _rows(features: list[np.ndarray], at: np.ndarray, klass: np.ndarray) -> tupl
     return [(f & low).astype(np.int64) for f in own], [(((f ^ k) * STEP) >> np.uint64(40) & low).astype(np.int64) for f in own]
 
 
-def _softmax(table_: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Log-probabilities."""
-    z = table_[rows[0]]
+def _exponents(table_: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights and the bias, less the largest of each row."""
+    z = table_.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += table_[r]
+        z += table_.take(r, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    most, width = z, CLASSES
+    while width > 1:  # by halves: a maximum along so short a row is slow
+        width //= 2
+        most = np.maximum(most[:, :width], most[:, width:])
+    z -= most
     return z
 
 
+def _shares(table_: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Probabilities."""
+    z = _exponents(table_, rows, bias)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _softmax(table_: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, right: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities; with right, only that of the right class of each row."""
+    z = _exponents(table_, rows, bias)
+    own = z.copy() if right is None else z[np.arange(len(z)), right].astype(np.float64)
+    below = np.log(np.exp(z, out=z).sum(axis=1))
+    return own - (below[:, None] if right is None else below)
+
+
 def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, places, bucket of each token and whether it starts a text."""
     unique = np.frombuffer(row["hashes"], np.uint64)
@@ -226,16 +245,25 @@ def _learn(row, weights: Weights, turn: int) -> tuple[np.ndarray, np.ndarray, in
         klass, sub = bucket[some] // CLASSES, bucket[some] % CLASSES
         both = _rows(features, some, klass)
         for table_, square, rows, bias, right in zip(tables, squares, both, (weights.bias1, weights.bias2[klass]), (klass, sub)):
-            slope = np.exp(_softmax(table_, rows, bias))
+            slope = _shares(table_, rows, bias)
             slope[np.arange(len(some)), right] -= 1
             every = np.concatenate(rows)
             order = np.argsort(every.astype(np.uint16), kind="stable")  # a radix sort: FEATURES is 2 ** 16 at most
-            every = every[order]
+            every, order = every[order], order % len(some)
             first = np.flatnonzero(np.diff(every, prepend=-1))
-            which = every[first]
-            slopes = np.add.reduceat(slope.take(order % len(some), axis=0), first, axis=0)
+            often = np.diff(first, append=len(every)) > 1
+            # most rows are met once in a step; only the slopes of the others have to be added up
+            repeated = np.repeat(often, np.diff(first, append=len(every)))
+            once, more = first[~often], np.flatnonzero(repeated)
+            which = every[np.concatenate([once, first[often]])]
+            slopes = np.empty((len(which), CLASSES), np.float32)
+            np.take(slope, order[once], axis=0, out=slopes[: len(once)], mode="clip")
+            if len(more):
+                begins = np.flatnonzero(np.diff(every[more], prepend=-1))
+                np.add.reduceat(slope.take(order[more], axis=0), begins, axis=0, out=slopes[len(once) :])
             square[which] += np.einsum("ij,ij->i", slopes, slopes) / CLASSES
-            table_[which] -= slopes * (RATE / np.sqrt(square[which]))[:, None]
+            slopes *= (RATE / np.sqrt(square[which]))[:, None]
+            table_[which] = np.subtract(table_.take(which, axis=0), slopes, out=slopes)
     return np.stack([tables[0] - weights.first, tables[1] - weights.second]), squares - weights.squares, len(at)
 
 
@@ -319,9 +347,7 @@ def scores(docs: DataFrame, work: str | None = None, most: int = CHUNK) -> DataF
                     at = np.arange(a, min(a + BATCH, len(words)))
                     klass, sub = bucket[at] // CLASSES, bucket[at] % CLASSES
                     rows1, rows2 = _rows(features, at, klass)
-                    z1, z2 = _softmax(weights.first, rows1, weights.bias1), _softmax(weights.second, rows2, weights.bias2[klass])
-                    each = np.arange(len(at))
-                    value[at] += (z1[each, klass].astype(np.float64) + z2[each, sub]) / ln10
+                    value[at] += (_softmax(weights.first, rows1, weights.bias1, klass) + _softmax(weights.second, rows2, weights.bias2[klass], sub)) / ln10
                 lengths = np.array(row["lengths"], np.int64)
                 first = np.cumsum(lengths) - lengths
                 add = lambda x, first=first: np.add.reduceat(x, first)

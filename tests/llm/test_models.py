@@ -467,6 +467,64 @@ def test_every_training_position_is_learnt(spark):
     assert learnt == sum(n for n, held in zip(row["lengths"], row["held"]) if not held) > 0
 
 
+def plain_learn(row, weights, turn):
+    """maxent._learn, with all slopes added up row by row."""
+    words, _, bucket, start = maxent._tokens(row)
+    features = maxent._features(words, start)
+    train = np.repeat(~np.array(row["held"], bool), row["lengths"])
+    at = np.flatnonzero(train & (np.arange(len(words)) % maxent.TURNS == turn % maxent.TURNS))
+    np.random.default_rng(turn).shuffle(at)
+    tables, squares = [weights.first.copy(), weights.second.copy()], weights.squares.copy()
+    for a in range(0, len(at), maxent.STEP_SIZE):
+        some = at[a : a + maxent.STEP_SIZE]
+        klass, sub = bucket[some] // maxent.CLASSES, bucket[some] % maxent.CLASSES
+        for table, square, rows, bias, right in zip(tables, squares, maxent._rows(features, some, klass), (weights.bias1, weights.bias2[klass]), (klass, sub)):
+            z = table[rows[0]]
+            z += table[rows[1]]
+            z += table[rows[2]]
+            z += bias
+            z -= z.max(axis=1, keepdims=True)
+            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            slope = np.exp(z)
+            slope[np.arange(len(some)), right] -= 1
+            every = np.concatenate(rows)
+            order = np.argsort(every.astype(np.uint16), kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.diff(every, prepend=-1))
+            which = every[first]
+            slopes = np.add.reduceat(slope.take(order % len(some), axis=0), first, axis=0)
+            square[which] += np.einsum("ij,ij->i", slopes, slopes) / maxent.CLASSES
+            table[which] -= slopes * (maxent.RATE / np.sqrt(square[which]))[:, None]
+    return np.stack([tables[0] - weights.first, tables[1] - weights.second]), squares - weights.squares, len(at)
+
+
+def test_learning_against_plain_steps(monkeypatch):
+    """The same changes as plain steps give; only slopes of rows that a step meets more than once are added up, others are taken as they are."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    places = np.minimum(rng.zipf(1.3, 24_000) - 1, len(words) - 1).astype(np.uint32)
+    row = {"hashes": words.tobytes(), "tokens": places.tobytes(), "lengths": [300] * 80, "held": [k % 7 == 2 for k in range(80)]}
+    weights = maxent.Weights(np.bincount(maxent.buckets_of(words)[places], minlength=maxent.BUCKETS).astype(np.int64))
+    their_change, their_squares, their_n = plain_learn(row, weights, 1)
+    added = []
+
+    class Add:
+        def reduceat(self, x, at, **more):
+            added.append((len(x), len(at)))
+            return np.add.reduceat(x, at, **more)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(maxent, "np", Numpy())
+    change, squares, n = maxent._learn(row, weights, 1)
+    assert n == their_n and np.abs(change - their_change).max() < 1e-3 and np.allclose(squares, their_squares, rtol=1e-3, atol=1e-3)
+    assert added and all(rows >= 2 * sums for rows, sums in added) and sum(rows for rows, _ in added) < 0.8 * 6 * n
+
+
 def test_probabilities_sum_to_one():
     """Over the seen words and one unseen word of every subclass, after any history."""
     words = np.unique(np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64))
