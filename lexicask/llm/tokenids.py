@@ -13,8 +13,6 @@ from lexicask.llm.common import text_buffer
 
 #: Distinct chunks whose ids a worker remembers before the older half of them is forgotten: bounded for any corpus.
 MEMORY = 900_000
-#: Bytes of text whose unknown chunks go to the tokenizer in one call.
-GROUP = 1 << 20
 #: Letters of ISO 8859-1 in UTF-8, lower case, and digits; fixed values.
 LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 #: A run of ASCII marks between such a character and white space: a token of its own to this tokenizer's rules.
@@ -59,6 +57,18 @@ def has_rules(tokenizer) -> bool:
     return added and all(own.get(k) == v for k, v in RULES.items()) and own["model"]["type"] == "BPE" and not own["model"].get("dropout")
 
 
+class Known(dict):
+    """What `learn` gives for each key that was asked for: one look-up for a chunk that is known."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
 class Tokens:
     """Ids of texts by a tokenizer file, as the tokenizer itself gives them with add_special_tokens=False.
 
@@ -77,49 +87,30 @@ class Tokens:
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known, others, four, letters = self.known, [], self.four, self.letters
-        plain, tokenize = PLAIN.fullmatch, self.model.tokenize
-        for chunk in chunks:
-            if chunk.isalpha() and chunk.islower():  # of bytes: ASCII letters
-                known[chunk] = b"".join([four[t.id] for t in tokenize(chunk.decode())])
-            elif plain(chunk):
-                known[chunk] = b"".join([four[t.id] for t in tokenize(chunk.decode().lower().translate(letters))])
-            else:
-                others.append(chunk)
-        made = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
-        for chunk, e in zip(others, made, strict=True):
-            known[chunk] = array("I", e.ids).tobytes()
+        self.known, self.older = Known(self._learn), {}
+
+    def _learn(self, chunk: bytes) -> bytes:
+        """Packed ids of a chunk that is not in the memory, or in its older half."""
+        if chunk in self.older:
+            return self.older[chunk]
+        if chunk.isalpha() and chunk.islower():  # of bytes: ASCII letters
+            return b"".join([self.four[t.id] for t in self.model.tokenize(chunk.decode())])
+        if PLAIN.fullmatch(chunk):
+            return b"".join([self.four[t.id] for t in self.model.tokenize(chunk.decode().lower().translate(self.letters))])
+        return array("I", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def of_texts(self, texts: list[bytes], end: int) -> list[bytes]:
         """Packed ids of each UTF-8 text, with the id `end` after it."""
-        tail, out, k = end.to_bytes(4, "little"), [], 0
+        tail, out = end.to_bytes(4, "little"), []
         if not self.by_chunks:
             for text in texts:  # one at a time: a batch's ids need many times the memory of its texts
                 out.append(array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() + tail)
             return out
-        while k < len(texts):
-            group, size = [], 0
-            while k < len(texts) and (not group or size < GROUP):
-                text = texts[k] if b"<|" in texts[k] else MARKED.sub(rb" \g<0>", texts[k].lower())
-                group.append(text.split())
-                size += len(texts[k])
-                k += 1
-            seen: set[bytes] = set()
-            seen.update(*group)
+        for text in texts:
+            text = text if b"<|" in text else MARKED.sub(rb" \g<0>", text.lower())
             if len(self.known) > MEMORY:
-                self.known, self.older = {}, self.known
-            fresh, older = seen.difference(self.known), self.older
-            if older:
-                again = [c for c in fresh if c in older]
-                self.known.update(zip(again, map(older.__getitem__, again)))
-                fresh.difference_update(again)
-            self._learn(fresh)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, chunks)) + tail for chunks in group]
+                self.known, self.older = Known(self._learn), dict(self.known)
+            out.append(b"".join(map(self.known.__getitem__, text.split())) + tail)
         return out
 
     def of_column(self, column: pa.Array, end: int) -> list[bytes]:

@@ -165,3 +165,17 @@ def test_slices():
         parts = list(slices(batch, rows=100, most=120))
         assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(len(texts)))
         assert all(p.num_rows == 1 or p.num_rows <= 100 and sum(len(t or "") for t in p.column("text").to_pylist()) <= 120 for p in parts)
+
+
+def test_a_known_chunk_is_looked_up_once(monkeypatch):
+    """Each distinct chunk is learnt once, when a text first needs it; ids that left the newer half of the memory come from the older one."""
+    learnt, worker = [], tokenids.Tokens()
+    learn = tokenids.Tokens._learn
+    monkeypatch.setattr(worker.known, "learn", lambda chunk: learnt.append(chunk) or learn(worker, chunk))
+    texts = [b"the cat, the Dog", b"the dog, 12 cats", b"The cat ,"]
+    assert worker.of_texts(texts, 1) == worker.of_texts(texts, 1)
+    assert sorted(learnt) == sorted(set(learnt)) == sorted([b"the", b"cat", b",", b"dog", b"12", b"cats"])
+    ids = [np.array(worker.tokenizer.encode(t.decode(), add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
+    assert worker.of_texts(texts, 1) == ids
+    monkeypatch.setattr(tokenids, "MEMORY", 0)
+    assert [x for t in texts for x in worker.of_texts([t], 1)] == ids
